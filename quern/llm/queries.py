@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe
+from quern.llm import bpe, quality
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and robust outliers over every text of ``documents``."""
+    return quality.rate(table(spark, sf_dir, "documents")).drop("distance", "unit")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` encoded and decoded again."""
     return bpe.encode_digests(
@@ -19,6 +24,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality": op2_quality,
     "op8_byte_bpe": op8_byte_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
