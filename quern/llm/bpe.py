@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of encoded chunks beyond which a Python worker drops its cache.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 
 _LEAF_BITS = 8
 _LEAF_MASK = (1 << _LEAF_BITS) - 1
@@ -269,7 +269,7 @@ class Codec:
             known[x] = get(y[0]) if len(y) == 1 else join(map(get, y))
         return {x: join(map(get, y)) for x, y in heads.items()}
 
-    def encode_all(self, texts: list[str], step: int = 4_000_000) -> list[bytes]:
+    def encode_all(self, texts: list[str], step: int = 2_000_000) -> list[bytes]:
         """Ids of many texts as little-endian 32-bit integers; about ``step`` characters share one queue."""
         out: list[bytes] = []
         run: list[list[str]] = []
@@ -318,7 +318,9 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
     @F.arrow_udf(T.BinaryType())
     def texts(found: pa.Array) -> pa.Array:
         coder = codec(rank_file, pattern)
-        return pa.array([coder.decode(x) if x else b"" for x in found.to_pylist()], type=pa.binary())
+        ids, ends = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy()
+        rows = zip(ends[:-1].tolist(), ends[1:].tolist())  # a null row has no ids either
+        return pa.array([coder.decode(ids[a:b].tolist()) for a, b in rows], type=pa.binary())
 
     return texts.asNondeterministic()(ids)
 
