@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, quality
+from quern.llm import bpe, jaccard, quality
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents whose three-word shingle sets have a similarity of 0.9 or more."""
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and robust outliers over every text of ``documents``."""
     return quality.rate(table(spark, sf_dir, "documents")).drop("distance", "unit")
@@ -24,6 +29,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
     "op8_byte_bpe": op8_byte_bpe,
 }
