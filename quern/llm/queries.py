@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, jaccard, quality
+from quern.llm import bpe, jaccard, quality, secrets
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -28,9 +28,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of ``documents``."""
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_secrets": op10_secrets,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op10_secrets": secrets.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}
