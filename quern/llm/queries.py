@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, jaccard, quality, secrets
+from quern.llm import bpe, decontaminate, jaccard, quality, secrets
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents")).drop("distance", "unit")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts of ``documents`` hold a text of ``benchmark``."""
+    return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` encoded and decoded again."""
     return bpe.encode_digests(
@@ -36,6 +41,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_secrets": op10_secrets,
 }
