@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, decontaminate, jaccard, quality, secrets
+from quern.llm import bpe, decontaminate, jaccard, quality, secrets, token_counts
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
+COUNT_FILE = "word_bpe_49k.json"
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text of ``documents``."""
+    return token_counts.token_budget(table(spark, sf_dir, "documents"), public_tokenizers.path(COUNT_FILE))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text of ``documents``."""
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
@@ -43,6 +49,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
