@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, decontaminate, jaccard, quality, secrets, token_counts
+from quern.llm import bpe, decontaminate, jaccard, quality, secrets, token_counts, toxicity
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of ``documents``, learned from ``labels``."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` encoded and decoded again."""
     return bpe.encode_digests(
@@ -48,6 +53,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
+    "op5_toxicity": op5_toxicity,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
