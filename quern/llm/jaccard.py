@@ -5,14 +5,15 @@ block's content is a token, so that documents within the similarity differ in fe
 share a token (each differing block costs a shingle). The steps:
 
 1. Equal sets are one entry. Its tokens are written once.
-2. Similar entries form groups: the entries of a token are compared with one pivot of the token, a comparison for
-   each entry, and verified links join them to groups. That is done twice, with pivots from the least and
-   the largest group of each token.
-3. The matrix holds each group's union of tokens, as distinct (token, group) rows. An entry probes the other
-   groups that hold a token of its own; the number of its blocks that a union covers bounds its overlap with every
-   member, and only a group that the bound lets through is opened: the entry is compared with the members that share
-   a token with it. An entry's own group isn't opened, as its members are linked already.
-4. Linked groups make components.
+2. Of the entries that share a token with another, the shingles that no other one has are counted. They differ in every
+   comparison, so an entry with too many of them can't be linked and goes.
+3. Similar entries form groups: the entries of a token are compared with one pivot of the token, the entry with the
+   fewest shingles of its own, a comparison for each entry, and verified links join them to groups. That is done twice,
+   the second time with a pivot from another group.
+4. The matrix holds which groups have a token, in cells of members with equal numbers of private and common
+   shingles. Two cells' numbers bound the overlap of their members; only cells that the bound lets through are opened,
+   and members of different groups that share the token are compared. Members of one group are linked already.
+5. Linked groups make components.
 
 Nothing is sampled or capped, and the links that count for the components are all found. Exact for sets of 64-bit
 shingle hashes.
@@ -177,6 +178,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return both.filter(linked(F.col("left"), F.col("right"), width, num, den)).select("a", "b")
 
 
+def _private(texts: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
+    """``id, n, private`` of each text: its shingles, and those that no other text has."""
+
+    def run(batches):
+        shingle = _shingler(width)
+        for batch in batches:
+            found = [shingle(x.as_py()).view(np.int64) for x in batch.column("text")]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
+
+    each = texts.mapInArrow(run, "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle"))
+    owners = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    alone = owners.filter("id = last").groupBy("id").agg(F.count("*").alias("private"))
+    return sizes.join(alone, "id", "left").select("id", "n", F.coalesce("private", F.lit(0)).alias("private"))
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_shingles`` and ``component_id``, the smallest key that links reach."""
     made = settle(prepare(docs, key, text, width, num, den), "shingles")
@@ -192,26 +210,40 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     # a key that several texts have stands for all of their sets
     texts = _keyed(docs, key, text).select(F.col("key").alias("id"), "text").join(ids, "id", "left_semi").distinct()
     texts = settle(texts, "texts")
-    labels = ids.select("id", F.col("id").alias("label"))
+    sizes = made.filter("size(tokens) > 0").select(F.col("key").alias("id"), "n").join(ids, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"))
+    # what an entry shares with no other one differs in every comparison; with too much of it no link is possible
+    bounds = _private(texts, sizes, width).filter((den - num) * F.col("n") >= den * F.col("private"))
+    bounds = settle(bounds.select("id", "private", (F.col("n") - F.col("private")).alias("common")), "bounds")
+    tokens = settle(tokens.join(bounds, "id"), "able")
+    texts = settle(texts.join(bounds.select("id"), "id", "left_semi"), "texts")
+    labels = bounds.select("id", F.col("id").alias("label"))
     edges = None
-    for end in (F.min, F.max):
+    # pivots: the entry with the least of its own, first of all entries, then of a group that the hash picks
+    for rank in (F.struct("private", "id", "label"), F.struct(F.xxhash64("label").alias("pick"), "private", "id", "label")):
         named = tokens.join(labels, "id")
-        pivots = named.groupBy("token").agg(end(F.struct("label", "id")).alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        pivots = pivots.filter("l0 < l1").select("token", "p.*").withColumnsRenamed({"label": "pivot_label", "id": "a"})
+        pivots = named.groupBy("token").agg(F.min(rank).alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        pivots = pivots.filter("l0 < l1").select("token", F.col("p.id").alias("a"), F.col("p.label").alias("pivot_label"))
         pairs = named.join(pivots, "token").filter("label != pivot_label").select("a", F.col("id").alias("b")).distinct()
         found = settle(_verified(pairs, texts, width, num, den), "links")
         edges = found if edges is None else edges.unionByName(found)
-        labels = settle(ids.join(connected_components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-    # the matrix of tokens and groups, and what each entry finds in other groups
-    named = tokens.join(labels, "id")
-    mixed = named.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("token")
-    open_rows = settle(named.join(mixed, "token"), "open")
-    matrix = open_rows.select("token", F.col("label").alias("group")).distinct()
-    probes = open_rows.join(matrix, "token").filter("label > group").groupBy("id", "group").agg(F.count("*").alias("covered")).filter("covered >= 1")
-    members = open_rows.select("token", F.col("id").alias("a"), F.col("label").alias("group"))
-    opened = open_rows.select("token", F.col("id").alias("b")).join(members, "token").join(probes.withColumnRenamed("id", "b"), ["b", "group"]).select("a", "b").distinct()
+        labels = bounds.join(connected_components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+        labels = settle(labels, "labels")
+    # the matrix: for each token the groups that hold it, in cells of equal bounds
+    named = settle(tokens.join(labels, "id"), "matrix")
+    cells = named.groupBy("token", "private", "common").agg(F.min("label").alias("g0"), F.max("label").alias("g1"))
+    other = cells.toDF("token", *[f"other_{c}" for c in cells.columns[1:]])
+    low, high = F.least("common", "other_common"), F.greatest("common", "other_common")
+    reach = den * low >= num * (high + F.col("private") + F.col("other_private"))
+    differ = ~((F.col("g0") == F.col("g1")) & (F.col("g0") == F.col("other_g0")) & (F.col("g0") == F.col("other_g1")))
+    once = F.struct("private", "common") <= F.struct("other_private", "other_common")
+    qualify = cells.join(other, "token").filter(reach & differ & once)
+    qualify = qualify.select("token", "private", "common", "other_private", "other_common")
+    left = named.select("token", "private", "common", F.col("id").alias("a"), F.col("label").alias("left_label"))
+    right = named.select("token", F.col("private").alias("other_private"), F.col("common").alias("other_common"), F.col("id").alias("b"), F.col("label").alias("right_label"))
+    opened = qualify.join(left, ["token", "private", "common"]).join(right, ["token", "other_private", "other_common"])
+    opened = opened.filter("left_label != right_label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = settle(_verified(opened, texts, width, num, den), "links")
-    labels = ids.join(connected_components(edges.unionByName(last)), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    labels = connected_components(edges.unionByName(last))
     named = made.select("own", "n", "sig").join(entries, "sig", "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = settle(named.select("own", "n", "label"), "named")
     least = named.filter("label is not null").groupBy("label").agg(F.min("own").alias("least"))
