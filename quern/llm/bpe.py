@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of encoded chunks beyond which a Python worker drops its cache.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 _LEAF_BITS = 8
 _LEAF_MASK = (1 << _LEAF_BITS) - 1
