@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, decontaminate, jaccard, quality, secrets, token_counts, toxicity
+from quern.llm import bpe, decontaminate, jaccard, quality, secrets, token_counts, toxicity, warc
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -32,6 +32,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of ``documents`` encoded and decoded again."""
     return bpe.encode_digests(
@@ -54,10 +59,12 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_warc": warc.ORACLE_SQL,
     "op10_secrets": secrets.oracle_sql(),
 }
