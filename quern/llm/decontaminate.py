@@ -153,5 +153,6 @@ def verdicts(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item."""
-    found = matches(docs, benchmark, key, text, **more).select("key", "hash").distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["key"]) & (F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))) == found["hash"]), "left_anti")
+    found = matches(docs, benchmark, key, text, **more).select(F.col("key").alias("__quern_key"), F.col("hash").alias("__quern_hash")).distinct()
+    hash_of = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return docs.join(found, F.col(key).eqNullSafe(F.col("__quern_key")) & (hash_of == F.col("__quern_hash")), "left_anti")

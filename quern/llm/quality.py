@@ -195,5 +195,5 @@ def rate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep. Rows that agree in key, text, language and source are judged alike."""
-    verdicts = rate(docs, key, text, lang, source).groupBy(F.col(key).alias("_key")).agg(F.bool_and("kept").alias("_kept"))
-    return docs.join(verdicts.filter("_kept"), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    verdicts = rate(docs, key, text, lang, source).groupBy(F.col(key).alias("__quern_key")).agg(F.bool_and("kept").alias("__quern_kept"))
+    return docs.join(verdicts.filter("__quern_kept"), F.col(key).eqNullSafe(F.col("__quern_key")), "left_semi")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, decontaminate, jaccard, quality, secrets, token_counts, toxicity, warc
+from quern.llm import bpe, decontaminate, jaccard, pii, quality, secrets, token_counts, toxicity, warc
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
+#: A deployment passes its own secret; this one makes the registered query repeatable.
+PII_KEY = "registered-query"
 COUNT_FILE = "word_bpe_49k.json"
 
 
@@ -22,6 +24,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents")).drop("distance", "unit")
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of ``documents`` with surrogates for personal data."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY, count="n_mentions")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which texts of ``documents`` hold a text of ``benchmark``."""
     return decontaminate.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,6 +65,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_quality": op2_quality,
+    "op3_surrogates": op3_surrogates,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op7_warc": op7_warc,
