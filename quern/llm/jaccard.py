@@ -149,7 +149,11 @@ def prepare(docs: DataFrame, key: str, text: str, width: int, num: int, den: int
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``own``: the row's key; ``key``: the same, or for a null one a negative number made of the text."""
     own, body = F.col(key).cast("long"), F.col(text).cast("string")
-    return docs.select(own.alias("own"), F.coalesce(own, F.xxhash64(body).bitwiseOR(F.lit(-(1 << 63)).cast("long"))).alias("key"), body.alias("text"))
+    return docs.select(own.alias("own"), _inner_key(own, body).alias("key"), body.alias("text"))
+
+
+def _inner_key(own: F.Column, body: F.Column) -> F.Column:
+    return F.coalesce(own, F.xxhash64(body).bitwiseOR(F.lit(-(1 << 63)).cast("long")))
 
 
 def linked(left: F.Column, right: F.Column, width: int, num: int, den: int) -> F.Column:
@@ -195,8 +199,8 @@ def _private(texts: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
     return sizes.join(alone, "id", "left").select("id", "n", F.coalesce("private", F.lit(0)).alias("private"))
 
 
-def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """One row per row of ``docs``: ``key``, ``n_shingles`` and ``component_id``, the smallest key that links reach."""
+def _classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """``own, key, n`` of every row, the ``label`` of its component and the component's smallest real key ``least``."""
     made = settle(prepare(docs, key, text, width, num, den), "shingles")
     entries = made.filter("sig is not null").groupBy("sig").agg(F.min("key").alias("id"))
     entries = settle(entries, "entries")
@@ -244,7 +248,29 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     opened = opened.filter("left_label != right_label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     last = settle(_verified(opened, texts, width, num, den), "links")
     labels = connected_components(edges.unionByName(last))
-    named = made.select("own", "n", "sig").join(entries, "sig", "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = settle(named.select("own", "n", "label"), "named")
-    least = named.filter("label is not null").groupBy("label").agg(F.min("own").alias("least"))
-    return named.join(least, "label", "left").select(F.col("own").alias(key), F.col("n").alias("n_shingles"), F.coalesce("least", "own").alias("component_id"))
+    named = made.select("own", "key", "n", "sig").join(entries, "sig", "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    named = settle(named.select("own", "key", "n", F.coalesce("label", "key").alias("label"), F.col("label").isNotNull().alias("linked")), "named")
+    # rows without words are alone, whatever other rows have their key
+    least = named.filter("linked").groupBy("label").agg(F.min("own").alias("least")).withColumn("linked", F.lit(True))
+    return named.join(least, ["label", "linked"], "left").select("own", "key", "n", "label", F.coalesce("least", "own").alias("least"))
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """One row per row of ``docs``: ``key``, ``n_shingles`` and ``component_id``, the smallest key that links reach."""
+    found = _classes(docs, key, text, width, num, den)
+    return found.select(F.col("own").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest key, or without keys the one whose text has the
+    smallest hash; of rows that repeat a kept key, one stays."""
+    found = _classes(docs, key, text, width, num, den)
+    stay = F.coalesce("least", "label")
+    gone = found.filter(F.col("key") != stay).select(F.col("key").alias("__quern_key")).distinct()
+    # most keys are there once: only the others are gathered
+    twice = found.groupBy(F.col("key").alias("__quern_key")).agg(F.count("*").alias("n")).filter("n > 1").select("__quern_key")
+    rows = docs.select("*", _inner_key(F.col(key).cast("long"), F.col(text).cast("string")).alias("__quern_row"))
+    same = F.col("__quern_row") == F.col("__quern_key")
+    rest = rows.join(gone, same, "left_anti")
+    once, more = rest.join(twice, same, "left_anti"), rest.join(twice, same, "left_semi").dropDuplicates(["__quern_row"])
+    return once.unionByName(more).drop("__quern_row")

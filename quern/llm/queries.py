@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, jaccard, pii, quality, secrets, token_counts, toxicity, warc
+from quern.llm import bpe, decontaminate, jaccard, langid, pii, quality, secrets, token_counts, toxicity, warc
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -40,6 +41,17 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every page, by text, markup, address and host, and of every document, by text and source."""
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    langs, logs = langid.learn(docs)
+    none = F.lit(None).cast("long")
+    of_docs = langid.signs_of_documents(docs).withColumn("id", F.struct(F.col("id.doc_id").alias("doc_id"), none.alias("page_id")))
+    of_pages = langid.signs_of_pages(pages).withColumn("id", F.struct(none.alias("doc_id"), F.col("id.page_id").alias("page_id")))
+    found = langid.identify(of_pages.unionByName(of_docs), langs, logs)
+    return found.select("id.doc_id", "id.page_id", "lang", "probability")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``pages`` written to WARC archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -68,6 +80,7 @@ QUERIES = {
     "op3_surrogates": op3_surrogates,
     "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_warc": op7_warc,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_counts": op9_token_counts,
