@@ -11,8 +11,9 @@ share a token (each differing block costs a shingle). The steps:
    fewest shingles of its own, a comparison for each entry, and verified links join them to groups. That is done twice,
    the second time with a pivot from another group.
 4. The matrix holds which groups have a token, in cells of members with equal numbers of private and common
-   shingles. Two cells' numbers bound the overlap of their members; only cells that the bound lets through are opened,
-   and members of different groups that share the token are compared. Members of one group are linked already.
+   shingles. Two cells' numbers bound the overlap of their members; only cells that the bound lets through are opened:
+   their members' common shingles are cut into as few blocks as the bound leaves, and members of different groups
+   that share such a block are compared. Members of one group are linked already.
 5. Linked groups make components.
 
 Nothing is sampled or capped, and the links that count for the components are all found. Exact for sets of 64-bit
@@ -39,6 +40,7 @@ from quern.session import settle
 
 #: Ratio of the sizes at the two ends of a size class.
 CLASS_RATIO = 1.5
+FINE_RATIO = 1.05
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
 
@@ -76,13 +78,25 @@ class Shingler:
 
 
 @lru_cache(maxsize=8)
-def _class_starts(limit: int = 1 << 40) -> np.ndarray:
+def _class_starts(ratio: float, limit: int = 1 << 40) -> np.ndarray:
     starts = [1]
     while starts[-1] < limit:
-        starts.append(max(starts[-1] + 1, int(starts[-1] * CLASS_RATIO)))
+        starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
     return np.array(starts, dtype=np.int64)
 
 
+def _cut(shingles: np.ndarray, blocks: int, emitted: int, spare: int, salt: int) -> np.ndarray:
+    """Tokens of the first ``emitted`` of ``blocks`` blocks: the filled ones, or all where more than ``spare`` are empty."""
+    edges = np.arange(emitted + 1, dtype=np.uint64) * np.uint64((1 << 32) // blocks)
+    at = np.searchsorted(shingles >> np.uint64(32), edges)
+    if emitted == blocks:
+        at[-1] = len(shingles)
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_mix(shingles), dtype=np.uint64)))
+    tokens = _mix(sums[at[1:]] - sums[at[:-1]] + np.arange(emitted, dtype=np.uint64) * _M[0] + np.uint64(salt))
+    empty = at[1:] == at[:-1]
+    return tokens if empty.sum() > spare else tokens[~empty]
+
+
 def block_tokens(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Tokens of a sorted shingle set, as signed longs.
 
@@ -94,7 +108,7 @@ def block_tokens(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     apart = lambda size: size * (den - num) // num
     if n == 0 or apart(n) == 0:
         return np.empty(0, dtype=np.int64)
-    starts = _class_starts()
+    starts = _class_starts(CLASS_RATIO)
     least = -(-n * num // den)
     own = int(np.searchsorted(starts, n, side="right")) - 1
     low = int(np.searchsorted(starts, least, side="right")) - 1
@@ -106,17 +120,35 @@ def block_tokens(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         spare = 2 + (most + 1) // 12
         blocks = most + 1 + spare
         emitted = apart(n) + 1 + spare if c == own else blocks
-        edges = np.arange(blocks + 1, dtype=np.uint64) * np.uint64((1 << 32) // blocks)
-        at = np.searchsorted(shingles >> np.uint64(32), edges[:emitted])
-        at = np.append(at, n if emitted == blocks else np.searchsorted(shingles >> np.uint64(32), edges[emitted]))
-        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_mix(shingles), dtype=np.uint64)))
-        content = sums[at[1:]] - sums[at[:-1]]
-        tokens = _mix(content + np.arange(emitted, dtype=np.uint64) * _M[0] + np.uint64(c << 40))
-        empty = at[1:] == at[:-1]
-        out.append(tokens if empty.sum() > spare else tokens[~empty])
+        out.append(_cut(shingles, blocks, emitted, spare, c << 40))
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
+def fine_tokens(common: np.ndarray, n: int, private: int, num: int, den: int) -> np.ndarray:
+    """Tokens of a set's shingles that others have too, for partners of every number of private shingles.
+
+    Private shingles differ in any case, so of the d shingles in which two linked sets may differ only d less both sets' private
+    ones are left for the common parts, and so many blocks and one more do. Private numbers are taken down to one
+    of eight steps; sets meet in the class of the smaller, as in ``block_tokens``, but classes are narrower.
+    """
+    starts = _class_starts(FINE_RATIO)
+    apart = lambda size: size * (den - num) // num
+    own = int(np.searchsorted(starts, n, side="right")) - 1
+    low = int(np.searchsorted(starts, -(-n * num // den), side="right")) - 1
+    out = []
+    for c in range(low, own + 1):
+        most = apart(int(starts[c + 1]) - 1)
+        step = max(1, most // 8)
+        mine = private // step * step
+        for other in range(0, most - mine + 1, step):
+            left = most - mine - other
+            spare = 2 + (left + 1) // 12
+            blocks = left + 1 + spare
+            salt = xxhash.xxh3_64_intdigest(f"{c} {min(mine, other)} {max(mine, other)}")
+            out.append(_cut(common, blocks, blocks, spare, salt))
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, dtype=np.int64)
+
+
 @lru_cache(maxsize=4)
 def _shingler(width: int) -> Shingler:
     return Shingler(width)
@@ -183,7 +215,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
 
 
 def _private(texts: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
-    """``id, n, private`` of each text: its shingles, and those that no other text has."""
+    """``id, n`` of each text and ``own``, the shingles that no other text has."""
 
     def run(batches):
         shingle = _shingler(width)
@@ -195,8 +227,31 @@ def _private(texts: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
 
     each = texts.mapInArrow(run, "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle"))
     owners = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    alone = owners.filter("id = last").groupBy("id").agg(F.count("*").alias("private"))
-    return sizes.join(alone, "id", "left").select("id", "n", F.coalesce("private", F.lit(0)).alias("private"))
+    alone = owners.filter("id = last").groupBy("id").agg(F.collect_list("shingle").alias("own"))  # of one text
+    return sizes.join(alone, "id", "left").select("id", "n", F.coalesce("own", F.array().cast("array<bigint>")).alias("own"))
+
+
+def _opened(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of ``id, label, n, own, text`` rows with different labels that share a fine token."""
+
+    def run(batches):
+        shingle = _shingler(width)
+        for batch in batches:
+            tokens = []
+            for n, own, text in zip(batch.column("n").to_pylist(), batch.column("own").to_pylist(), batch.column("text")):
+                common = np.setdiff1d(shingle(text.as_py()), np.array(own, dtype=np.int64).view(np.uint64), assume_unique=True)
+                tokens.append(fine_tokens(common, n, len(own), num, den))
+            ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens), pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), lists], names=["id", "label", "tokens"])
+
+    made = members.mapInArrow(run, "id long, label long, tokens array<long>").select("id", "label", F.explode("tokens").alias("token"))
+    made = settle(made, "fine")
+    mixed = made.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("token")
+    rows = made.join(mixed, "token")
+    left, right = rows.toDF("token", "a", "left_label"), rows.toDF("token", "b", "right_label")
+    pairs = left.join(right, "token").filter("left_label < right_label")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
@@ -216,8 +271,9 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: in
     texts = settle(texts, "texts")
     sizes = made.filter("size(tokens) > 0").select(F.col("key").alias("id"), "n").join(ids, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"))
     # what an entry shares with no other one differs in every comparison; with too much of it no link is possible
-    bounds = _private(texts, sizes, width).filter((den - num) * F.col("n") >= den * F.col("private"))
-    bounds = settle(bounds.select("id", "private", (F.col("n") - F.col("private")).alias("common")), "bounds")
+    able = _private(texts, sizes, width).withColumn("private", F.size("own")).filter((den - num) * F.col("n") >= den * F.col("private"))
+    able = settle(able, "bounds")
+    bounds = able.select("id", "private", (F.col("n") - F.col("private")).alias("common"))
     tokens = settle(tokens.join(bounds, "id"), "able")
     texts = settle(texts.join(bounds.select("id"), "id", "left_semi"), "texts")
     labels = bounds.select("id", F.col("id").alias("label"))
@@ -241,11 +297,11 @@ def _classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: in
     differ = ~((F.col("g0") == F.col("g1")) & (F.col("g0") == F.col("other_g0")) & (F.col("g0") == F.col("other_g1")))
     once = F.struct("private", "common") <= F.struct("other_private", "other_common")
     qualify = cells.join(other, "token").filter(reach & differ & once)
-    qualify = qualify.select("token", "private", "common", "other_private", "other_common")
-    left = named.select("token", "private", "common", F.col("id").alias("a"), F.col("label").alias("left_label"))
-    right = named.select("token", F.col("private").alias("other_private"), F.col("common").alias("other_common"), F.col("id").alias("b"), F.col("label").alias("right_label"))
-    opened = qualify.join(left, ["token", "private", "common"]).join(right, ["token", "other_private", "other_common"])
-    opened = opened.filter("left_label != right_label").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cell = ["token", "private", "common"]
+    qualify = qualify.select(*cell, "other_private", "other_common")
+    touched = qualify.select(*cell).unionByName(qualify.select("token", F.col("other_private").alias("private"), F.col("other_common").alias("common")))
+    members = named.join(touched.distinct(), cell, "left_semi").select("id", "label").distinct().join(able.select("id", "n", "own"), "id").join(texts, "id")
+    opened = _opened(members, width, num, den)
     last = settle(_verified(opened, texts, width, num, den), "links")
     labels = connected_components(edges.unionByName(last))
     named = made.select("own", "key", "n", "sig").join(entries, "sig", "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
