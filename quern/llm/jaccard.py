@@ -4,7 +4,7 @@ A token-group matrix, built and searched by Spark. Every document's shingle set
 block's content is a token, so that documents within the similarity differ in fewer blocks than there are and
 share a token (each differing block costs a shingle). The steps:
 
-1. Equal sets are one entry. Its tokens are written once.
+1. Equal sets are one entry.
 2. Of the entries that share a token with another, the shingles that no other one has are counted. They differ in every
    comparison, so an entry with too many of them can't be linked and goes.
 3. Similar entries form groups: the entries of a token are compared with one pivot of the token, the entry with the
@@ -154,28 +154,44 @@ def _shingler(width: int) -> Shingler:
     return Shingler(width)
 
 
-def prepare(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """``own, key, n, sig, tokens`` of every row of ``_keyed``; ``sig`` tells equal sets and is null for empty ones."""
-    schema = T.StructType(
-        [T.StructField("own", T.LongType()), T.StructField("key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType()))]
-    )
+def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """``own, key, n, sig`` of every row; ``sig`` tells equal sets and is null for empty ones."""
 
     def run(batches):
         shingle = _shingler(width)
         for batch in batches:
             own, keys, texts = batch.columns
-            n, sigs, tokens, ends = [], [], [], [0]
+            n, sigs = [], []
             for x in texts:
                 found = shingle(x.as_py())
                 n.append(len(found))
                 sigs.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([own, keys, pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], names=["own", "key", "n", "sig"])
+
+    return _keyed(docs, key, text).mapInArrow(run, "own long, key long, n long, sig binary")
+
+
+def tokens_of(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """``key, half, token``: the tokens of every row, and half of its set's signature.
+
+    They are made from the texts wherever they are used: made twice they cost less than kept on disk."""
+
+    def run(batches):
+        shingle = _shingler(width)
+        for batch in batches:
+            _, keys, texts = batch.columns
+            tokens, halves, ends = [], [], [0]
+            for x in texts:
+                found = shingle(x.as_py())
+                halves.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 tokens.append(block_tokens(found, num, den))
                 ends.append(ends[-1] + len(tokens[-1]))
             values = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), type=pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([own, keys, pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), lists], names=["own", "key", "n", "sig", "tokens"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(halves, pa.int64()), lists], names=["key", "half", "tokens"])
 
-    return _keyed(docs, key, text).mapInArrow(run, schema)
+    made = _keyed(docs, key, text).mapInArrow(run, "key long, half long, tokens array<long>")
+    return made.select("key", "half", F.explode("tokens").alias("token"))
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -256,20 +272,18 @@ def _opened(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 def _classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
     """``own, key, n`` of every row, the ``label`` of its component and the component's smallest real key ``least``."""
-    made = settle(prepare(docs, key, text, width, num, den), "shingles")
-    entries = made.filter("sig is not null").groupBy("sig").agg(F.min("key").alias("id"))
-    entries = settle(entries, "entries")
-    keyed = made.filter("size(tokens) > 0").select("key", "sig", "tokens")
-    # one row of each set brings its tokens; where rows repeat, the later distinct() leaves one
-    holders = keyed.join(entries, "sig").filter("key = id").select("id", F.explode("tokens").alias("token"))
-    # what only one entry holds can't be shared
-    shared = holders.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("token")
-    tokens = settle(holders.join(shared, "token").distinct(), "tokens")
+    made = settle(sets_of(docs, key, text, width), "sets")
+    entries = settle(made.filter("sig is not null").groupBy("sig").agg(F.min("key").alias("id")), "entries")
+    held = tokens_of(docs, key, text, width, num, den)
+    # what only one set holds can't be shared; of equal sets one entry goes on
+    shared = held.groupBy("token").agg(F.min("half").alias("low"), F.max("half").alias("high")).filter("low < high").select("token")
+    rows = held.select("token", F.col("key").alias("id")).join(shared, "token")
+    tokens = settle(rows.join(entries.select("id"), "id", "left_semi").distinct(), "tokens")
     ids = tokens.select("id").distinct()
     # a key that several texts have stands for all of their sets
     texts = _keyed(docs, key, text).select(F.col("key").alias("id"), "text").join(ids, "id", "left_semi").distinct()
     texts = settle(texts, "texts")
-    sizes = made.filter("size(tokens) > 0").select(F.col("key").alias("id"), "n").join(ids, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"))
+    sizes = made.select(F.col("key").alias("id"), "n").join(ids, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"))
     # what an entry shares with no other one differs in every comparison; with too much of it no link is possible
     able = _private(texts, sizes, width).withColumn("private", F.size("own")).filter((den - num) * F.col("n") >= den * F.col("private"))
     able = settle(able, "bounds")
