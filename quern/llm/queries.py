@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, jaccard, langid, pii, quality, secrets, token_counts, toxicity, warc
+from quern.llm import bpe, decontaminate, jaccard, langid, oracles, pii, quality, secrets, token_counts, toxicity, warc
 from quern.session import table
 
 RANK_FILE = "byte_bpe_50k.tiktoken"
@@ -87,6 +87,8 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op2_quality": oracles.quality_rules(),
     "op7_warc": warc.ORACLE_SQL,
     "op10_secrets": secrets.oracle_sql(),
 }
