@@ -432,3 +432,61 @@ def user_components(spark, d):
     """Connected components of users and amounts."""
     events = relation(spark, d, "events", u="user_id", kind="event_type", v="value").filter("kind = 'purchase'")
     return connected_components(events.select(F.col("u").alias("a"), (F.round(F.col("v") * 100).cast("long") % 1000 + 100000).alias("b")))
+
+
+@query("select '_:sk' || sha256('[\"' || o_custkey || '\",\"' || o_orderpriority || '\"]') as node, count(*) as n_orders, min(o_custkey) as c, min(o_orderpriority) as level from orders group by o_custkey, o_orderpriority")
+def skolem_heads(spark, d):
+    """An existential head: one new node for each customer and priority, the same in every run."""
+    orders = relation(spark, d, "orders", c="o_custkey", level="o_orderpriority")
+    return orders.withColumn("node", call("log:skolem", "c", "level")).groupBy("node").agg(F.count("*").alias("n_orders"), F.min("c").alias("c"), F.min("level").alias("level"))
+
+
+@query("""select s, p, o from (select 'customer/' || c_custkey as s, 'market' as p, c_mktsegment as o from customer union all select 'customer/' || c_custkey, 'trade', c_mktsegment from customer
+ union all select 'customer/' || c_custkey, 'type', 'Builder' from customer where c_mktsegment = 'BUILDING' union all select 'customer/' || c_custkey, 'needs', 'permit' from customer where c_mktsegment = 'BUILDING')""")
+def owl_equivalent_and_value(spark, d):
+    """OWL equivalentProperty and hasValue."""
+    customers = relation(spark, d, "customer", c="c_custkey", o="c_mktsegment").select(F.concat(F.lit("customer/"), F.col("c")).alias("s"), F.lit("market").alias("p"), "o")
+    schema = spark.createDataFrame([("market", "equivalentProperty", "trade")], "s string, p string, o string")
+    facts = customers.unionByName(entailment.equivalent_property(customers.unionByName(schema)))
+    types = customers.filter("o = 'BUILDING'").select("s", F.lit("type").alias("p"), F.lit("Builder").alias("o"))
+    values = spark.createDataFrame([("Builder", "needs", "permit")], "class string, property string, value string")
+    return facts.unionByName(types).unionByName(entailment.has_value(types, values)).distinct()
+
+
+@query("""with recursive e as (select user_id as u, event_id as a, lead(event_id) over (partition by user_id order by ts, event_id) as b from events where event_type in ('error', 'purchase')),
+ r as (select e.a as root, e.b as node, 1 as n from e join events v on v.event_id = e.a where v.event_type = 'error' and e.b is not null
+ union all select r.root, e.b, r.n + 1 from r join e on e.a = r.node where e.b is not null and r.n < 3) select root, node from r""")
+def error_followers(spark, d):
+    """A goal for many roots: what follows each error, three steps far."""
+    chosen = relation(spark, d, "events", "ts", u="user_id", e="event_id", kind="event_type").filter("kind in ('error', 'purchase')")
+    edges = chosen.select(F.col("e").alias("a"), F.lead("e").over(Window.partitionBy("u").orderBy("ts", "e")).alias("b"), "kind").filter("b is not null")
+    start = edges.filter("kind = 'error'").select(F.col("a").alias("root"))
+    hop = edges.select(F.col("a").alias("node"), F.col("b").alias("next"))
+    first = start.join(hop, start["root"] == hop["node"]).select("root", F.col("next").alias("node"))
+    out = reached = first
+    for _ in range(2):
+        reached = reached.join(hop, "node").select("root", F.col("next").alias("node"))
+        out = out.unionByName(reached)
+    return out
+
+
+@query("""select s, o from (select 'supplier/' || s_suppkey as s, 'nation/' || s_nationkey as o from supplier) where s not in (select 'supplier/' || l_suppkey from lineitem where l_returnflag = 'R' and l_quantity >= 49.5)""")
+def retracted_suppliers(spark, d):
+    """Retraction: suppliers of a returned large quantity lose their nation."""
+    facts = triples(spark, d, "supplier", ["s_nationkey"]).withColumn("o", F.concat(F.lit("nation/"), F.col("o")))
+    bad = relation(spark, d, "lineitem", s="l_suppkey", f="l_returnflag", q="l_quantity").filter("f = 'R' and q >= 49.5").select(F.concat(F.lit("supplier/"), F.col("s")).alias("s")).distinct()
+    return graphs.retract(facts, bodies.includes(facts, bad)).select("s", "o")
+
+
+@query("""select o_orderkey as o, (date_diff('month', o_orderdate, timestamp '2024-06-30 00:00:00') - case when day(o_orderdate) > 30 or (day(o_orderdate) = 30 and o_orderdate::time > time '00:00:00') then 1 else 0 end) // 12 as years from orders where day(o_orderdate) < 29""")
+def completed_years(spark, d):
+    """Date difference in whole years."""
+    orders = relation(spark, d, "orders", o="o_orderkey", t="o_orderdate").filter(F.dayofmonth("t") < 29)
+    return bind(orders, "years", "time:completedYears", F.lit("2024-06-30").cast("timestamp"), "t").select("o", "years")
+
+
+@query("""with l as (select l_orderkey as o, list(distinct l_suppkey) as x from lineitem group by 1), m as (select o, x, unnest(x) as item from l where len(x) between 2 and 4) select o, item, list_sort(list_filter(x, lambda y: y <> item)) as others from m""")
+def list_selections(spark, d):
+    """A generator of an item and the list without it."""
+    lists = relation(spark, d, "lineitem", o="l_orderkey", s="l_suppkey").groupBy("o").agg(F.array_sort(F.collect_set("s")).alias("x")).filter(F.size("x").between(2, 4))
+    return lists.select("o", F.explode(call("list:select", "x")).alias("e")).select("o", "e.item", F.col("e.rest").alias("others"))
