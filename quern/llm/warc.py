@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.session import new_path
+from quern.session import new_path, settle
 
 #: Equal payloads of at least so many bytes are written once.
 REVISIT_BYTES = 1000
@@ -185,7 +185,8 @@ def read(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> Data
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))
     ranges = files.select("path", F.explode(starts).alias("start")).withColumn("end", F.col("start") + split_bytes)
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # as many tasks as ranges; a range is a row of a few bytes, so Spark would put them all into one
+    ranges = ranges.repartition(max(1, ranges.count()))
     schema = "page_id long, record_type string, url string, payload binary, digest string, refers_to long"
 
     def run(batches):
@@ -215,8 +216,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit has the payload of the response that it names."""
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit has the payload of the response that it names.
+
+    The archives are read once: what the join needs of a record is kept as a table."""
     measured = records.select("page_id", "record_type", "digest", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha"))
+    measured = settle(measured, "records")
     full = measured.filter("record_type = 'response'")
     targets = full.groupBy(F.col("page_id").alias("refers_to"), F.col("sha").alias("digest")).agg(F.max("bytes").alias("full_bytes"))
     again = measured.filter("record_type = 'revisit'").join(targets, ["refers_to", "digest"], "left")
