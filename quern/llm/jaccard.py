@@ -154,44 +154,28 @@ def _shingler(width: int) -> Shingler:
     return Shingler(width)
 
 
-def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``own, key, n, sig`` of every row; ``sig`` tells equal sets and is null for empty ones."""
+def prepare(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """``own, key, n, sig, half, tokens`` of every row; ``sig`` tells equal sets and is null for empty ones, ``half`` is a shorter one."""
+    schema = "own long, key long, n long, sig binary, half long, tokens array<long>"
 
     def run(batches):
         shingle = _shingler(width)
         for batch in batches:
             own, keys, texts = batch.columns
-            n, sigs = [], []
+            n, sigs, halves, tokens, ends = [], [], [], [], [0]
             for x in texts:
                 found = shingle(x.as_py())
                 n.append(len(found))
                 sigs.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([own, keys, pa.array(n, pa.int64()), pa.array(sigs, pa.binary())], names=["own", "key", "n", "sig"])
-
-    return _keyed(docs, key, text).mapInArrow(run, "own long, key long, n long, sig binary")
-
-
-def tokens_of(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """``key, half, token``: the tokens of every row, and half of its set's signature.
-
-    They are made from the texts wherever they are used: made twice they cost less than kept on disk."""
-
-    def run(batches):
-        shingle = _shingler(width)
-        for batch in batches:
-            _, keys, texts = batch.columns
-            tokens, halves, ends = [], [], [0]
-            for x in texts:
-                found = shingle(x.as_py())
                 halves.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
                 tokens.append(block_tokens(found, num, den))
                 ends.append(ends[-1] + len(tokens[-1]))
             values = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), type=pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(halves, pa.int64()), lists], names=["key", "half", "tokens"])
+            columns = [own, keys, pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(halves, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["own", "key", "n", "sig", "half", "tokens"])
 
-    made = _keyed(docs, key, text).mapInArrow(run, "key long, half long, tokens array<long>")
-    return made.select("key", "half", F.explode("tokens").alias("token"))
+    return _keyed(docs, key, text).mapInArrow(run, schema)
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -272,13 +256,14 @@ def _opened(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
 def _classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
     """``own, key, n`` of every row, the ``label`` of its component and the component's smallest real key ``least``."""
-    made = settle(sets_of(docs, key, text, width), "sets")
+    made = settle(prepare(docs, key, text, width, num, den), "sets")
     entries = settle(made.filter("sig is not null").groupBy("sig").agg(F.min("key").alias("id")), "entries")
-    held = tokens_of(docs, key, text, width, num, den)
+    held = made.select("key", "half", F.explode("tokens").alias("token"))
     # what only one set holds can't be shared; of equal sets one entry goes on
     shared = held.groupBy("token").agg(F.min("half").alias("low"), F.max("half").alias("high")).filter("low < high").select("token")
     rows = held.select("token", F.col("key").alias("id")).join(shared, "token")
-    tokens = settle(rows.join(entries.select("id"), "id", "left_semi").distinct(), "tokens")
+    rows = settle(rows.distinct(), "shared")  # kept first, else Spark would shuffle whole arrays to find the entries
+    tokens = settle(rows.join(entries.select("id"), "id", "left_semi"), "tokens")
     ids = tokens.select("id").distinct()
     # a key that several texts have stands for all of their sets
     texts = _keyed(docs, key, text).select(F.col("key").alias("id"), "text").join(ids, "id", "left_semi").distinct()
