@@ -48,7 +48,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: The stages hold robust estimates, SimHash joins and BPE merges, which SQL can't express; each is tested against brute force.
+#: The stages hold robust estimates, window joins and BPE merges, which SQL can't express; each is tested against brute force.
 ORACLE_SQL = None
 
 

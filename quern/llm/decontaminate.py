@@ -1,13 +1,13 @@
-"""Benchmark decontamination: SimHash of item-sized windows, then exact weighted-shingle similarity. DataFrame functions only.
+"""Benchmark decontamination: item-sized windows that share a rare shingle, then exact weighted-shingle similarity. DataFrame functions only.
 
 Words are runs of letters and digits in lower case; a shingle is five words (all of a shorter item's words) and
 weighs as many as its characters. A window has as many words as a benchmark item, or is the whole text where that is shorter.
 
 1. Seeds: places of a text whose shingle some item has. A window can only be similar to an item of its size if its
    seeds weigh ``num / den`` of the lightest such item; the others are left out, which loses nothing.
-2. Windows get a 64-bit SimHash over their weighted shingles. It is cut into ``RADIUS + 1`` blocks, so two fingerprints
-   within the radius agree in a block: joining on size, block and value finds all of them.
-3. Candidates within the radius are verified by the exact weighted Jaccard similarity.
+2. An item's index are its rarest shingles, as many as weigh more than ``1 - num / den`` of it. A window without any of them
+   shares less than ``num / den`` of the item's weight and can't be similar, so a join on size and shingle finds all pairs.
+3. These candidates are verified by the exact weighted Jaccard similarity.
 
 Defined cases: null and empty texts, and items without words, match nothing; repeated rows have equal results; a null key
 is a key like another; without benchmark items no text is contaminated; other columns aren't read.
@@ -15,15 +15,13 @@ is a key like another; without benchmark items no text is contaminated; other co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.quality import let
 from quern.session import settle
 
 WIDTH = 5
-#: At a similarity of 0.8 fingerprints differ in 10 bits on average, with a deviation of 3.
-RADIUS = 19
 #: Shingles of the benchmark up to which it is broadcast; beyond, the joins shuffle.
 BROADCAST_SHINGLES = 1_000_000
 
@@ -54,25 +52,6 @@ def _weight(shingles: Column) -> Column:
     return F.aggregate(shingles, F.lit(0).cast("long"), lambda a, x: a + x["w"])
 
 
-def fingerprint(shingles: Column) -> Column:
-    """64-bit SimHash: a bit is set where the shingles that have it outweigh the others."""
-
-    def bit(b: Column) -> Column:
-        at = lambda x: F.call_function("shiftright", x["h"], b).bitwiseAND(F.lit(1).cast("long"))
-        total = F.aggregate(shingles, F.lit(0).cast("long"), lambda a, x: a + F.when(at(x) == 1, x["w"]).otherwise(-x["w"]))
-        return F.when(total > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-
-
-def _blocks(fp: Column) -> Column:
-    """The fingerprint's bits in ``RADIUS + 1`` parts that differ by one bit in size at most."""
-    edges = [round(i * 64 / (RADIUS + 1)) for i in range(RADIUS + 2)]
-    parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")) for a, b in zip(edges, edges[1:])]
-    return F.array(*parts)
-
-
 def _similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two arrays of distinct ``h, w``."""
     both = _weight(F.array_intersect(a, b))
@@ -88,6 +67,18 @@ def items_of(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return made.withColumn("weight", _weight(F.col("shingles")))
 
 
+def index_of(items: DataFrame, num: int, den: int) -> DataFrame:
+    """``item, size, other`` (its shingles), ``rare`` (the hashes of its rarest ones) and a row for each ``h`` of those."""
+    each = items.select("item", "size", "weight", F.explode("shingles").alias("s")).select("item", "size", "weight", F.col("s.h").alias("h"), F.col("s.w").alias("w"))
+    held = each.withColumn("n", F.count("*").over(Window.partitionBy("size", "h")))
+    order = Window.partitionBy("item", "size", "weight").orderBy("n", F.desc("w"), "h").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("w").over(order), F.lit(0))
+    needed = held.withColumn("before", before).filter(den * (F.col("weight") - F.col("before")) >= num * F.col("weight"))
+    rare = needed.groupBy(F.col("item").alias("_i"), F.col("size").alias("_s"), F.col("weight").alias("_w")).agg(F.collect_set("h").alias("rare"))  # of one item
+    same = F.col("item").eqNullSafe(F.col("_i")) & (F.col("size") == F.col("_s")) & (F.col("weight") == F.col("_w"))
+    return items.join(rare, same).select("item", "size", F.col("shingles").alias("other"), "rare", F.explode("rare").alias("h"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", num: int = 8, den: int = 10) -> DataFrame:
     """``key, hash`` of a text, the ``item`` it holds, and ``similarity`` of the most similar window."""
     items = settle(items_of(benchmark, item, item_text), "items")
@@ -129,14 +120,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     if not widths:
         return docs.sparkSession.createDataFrame([], f"key {dict(rows.dtypes)['key']}, hash long, item {dict(items.dtypes)['item']}, similarity double")
     cuts = texts.select("key", "hash", F.explode(let(_words(F.col("text")), cut)).alias("x")).select("key", "hash", "x.*")
-    printed = settle(cuts.distinct().withColumn("fp", fingerprint(F.col("shingles"))), "windows")
-    blocks = printed.select("*", _blocks(F.col("fp")).alias("blocks")).select("*", F.posexplode("blocks").alias("block", "value"))
-    known = items.select("item", "size", F.col("shingles").alias("other"), fingerprint(F.col("shingles")).alias("fp2"))
-    known = settle(known, "prints").select("*", _blocks(F.col("fp2")).alias("blocks2")).select("*", F.posexplode("blocks2").alias("block", "value"))
-    pairs = blocks.join(_small(known, small), ["size", "block", "value"])
-    # each pair once, at the first block in which it agrees
-    agreed = F.array_position(F.zip_with("blocks", "blocks2", lambda a, b: a == b), True)
-    pairs = pairs.filter((F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RADIUS) & (agreed == F.col("block") + 1))
+    cuts = settle(cuts.distinct(), "windows")
+    known = settle(index_of(items, num, den), "index")
+    each = cuts.select("*", F.transform("shingles", lambda x: x["h"]).alias("held")).select("*", F.explode("held").alias("h"))
+    # each pair once, at the first shingle of the window that is rare in the item
+    pairs = each.join(_small(known, small), ["size", "h"]).filter(F.get(F.array_intersect("held", "rare"), F.lit(0)) == F.col("h"))
     judged = pairs.select("key", "hash", "item", _similarity(F.col("shingles"), F.col("other")).alias("similarity"))
     return judged.filter(F.col("similarity") >= num / den).groupBy("key", "hash", "item").agg(F.max("similarity").alias("similarity"))
 

@@ -1,3 +1,5 @@
+import random
+
 import regex
 
 from quern.llm import decontaminate
@@ -72,3 +74,20 @@ def test_edges(spark):
     assert left.columns == docs.columns
     assert decontaminate.verdicts(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.verdicts(docs.limit(0), bench).count() == 0
+
+
+def test_unequal_words(spark):
+    """One long word of an item outweighs the others; windows that lack another word of it are still found."""
+    dice = random.Random(5)
+    word = lambda n: "".join(dice.choice("abcdefghijklmnop") for _ in range(n))
+    rows, bench = [], []
+    for i in range(16):
+        w = [word(5) for _ in range(200)]
+        w[60], w[140] = word((128, 200)[i % 2]), word((128, 60)[i % 2])
+        bench.append((i, " ".join(w)))
+        w[(60, 140)[i // 2 % 2]] = word(5)
+        rows.append((i, f"{word(7)} {' '.join(w)} {word(6)}"))
+    want = brute(rows, bench)
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in decontaminate.verdicts(docs, items).collect()} == want
+    assert sum(map(bool, want.values())) > 4
