@@ -1,7 +1,8 @@
 """Surrogates for personal data: detected entities get keyed replacements of their own kind. DataFrame functions only.
 
 Kinds: e-mail addresses, telephone numbers, account and card numbers, IPv4 addresses, and names after a title. The normal form of an entity
-(lower case, digits alone) is what mentions share. Every distinct normal form of the corpus draws a surrogate from a keyed
+(lower case, digits alone, telephone numbers without calling code) is what mentions share. Given and family names are entities of
+their own, so partial mentions agree; where a text has a titled name, its words are replaced in the rest of the text as well. Every distinct normal form of the corpus draws a surrogate from a keyed
 hash: letters for letters, as many digits as the original, a given name with the ending of the title's gender, in the script
 of the original. Draws are checked: one that equals an entity of the corpus, an accepted surrogate or another draw is
 drawn again (of equal draws the least entity keeps it), until all are distinct. Mentions are then rewritten in place,
@@ -37,7 +38,12 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}])(?!\.\d)"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!" + _WORD + r")|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!" + _WORD + r")|(?<![\p{L}\p{N}+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!" + _WORD + ")"
 CARD = r"(?<![\p{L}\p{N}+])\d(?:[ -]?\d){12,18}(?!" + _WORD + ")"
-NAME = r"(?<!" + _WORD + ")(?:" + "|".join((*TITLES_F, *TITLES_M)) + r")\.?[ \t]+\p{Lu}[\p{L}'-]+(?:[ \t]\p{Lu}[\p{L}'-]+)?"
+_TITLE = r"(?:" + "|".join((*TITLES_F, *TITLES_M)) + r")\.?[ \t]+(?:(?:Dr|Prof)\.?[ \t]+)*"
+#: A word of a name: a possessive ending isn't part of it.
+NAME_WORD = r"\p{Lu}(?:[\p{L}-]|'(?=\p{L})(?!s(?!\p{L})))+"
+NAME = r"(?<!" + _WORD + ")" + _TITLE + NAME_WORD + r"(?:[ \t]" + NAME_WORD + ")?"
+#: A calling code with a trunk zero, before seven digits at least.
+CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})0?(?=\d{7})"
 ANY = f"(?:{EMAIL})|(?:{IPV4})|(?:{PHONE})|(?:{CARD})|(?:{NAME})"
 
 
@@ -61,21 +67,41 @@ def kind_of(mention: Column) -> Column:
     )
 
 
+def _gender(mention: Column) -> Column:
+    return F.when(F.regexp_extract(mention, r"^([\p{L}]+)", 1).isin(*TITLES_F), "f").otherwise("m")
+
+
+def _title(mention: Column) -> Column:
+    return F.regexp_extract(mention, f"^({_TITLE})", 1)
+
+
+def _bare(mention: Column) -> Column:
+    """The words of a titled name, in lower case."""
+    return F.split(F.lower(F.regexp_replace(mention, f"^{_TITLE}", "")), r"[ \t]")
+
+
+def national(mention: Column) -> Column:
+    """The digits of a telephone number without calling code and trunk zero."""
+    return F.when(F.startswith(mention, F.lit("+")), F.regexp_replace(_digits(mention), CALLING, "")).otherwise(F.regexp_replace(_digits(mention), r"^0(?=\d{7})", ""))
+
+
 def normal_form(mention: Column) -> Column:
-    """What mentions of one entity have in common: its kind and its normalised value, with the gender for names."""
+    """What mentions of one entity have in common: its kind and its normalised value; for names see ``entities_of``."""
     kind = kind_of(mention)
-    title = F.regexp_extract(mention, r"^([\p{L}]+)", 1)
-    bare = F.lower(F.regexp_replace(mention, r"^[\p{L}]+\.?[ \t]+", ""))
-    gender = F.when(title.isin(*TITLES_F), "f").otherwise("m")
-    value = (
-        F.when(kind == "email", F.lower(mention))
-        .when(kind == "ip", mention)
-        .when(kind == "name", F.concat(gender, F.lit(" "), F.regexp_replace(bare, r"[ \t]+", " ")))
-        .otherwise(_digits(mention))
-    )
+    value = F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).when(kind == "phone", national(mention)).otherwise(_digits(mention))
     return F.concat_ws(":", kind, value)
 
 
+def entities_of(mention: Column) -> Column:
+    """The entities of a mention: one, but for a full name its given and its family name, each with the gender."""
+    def named(words: Column) -> Column:
+        family = F.concat(F.lit("name:"), _gender(mention), F.lit(" "), F.element_at(words, -1))
+        given = F.concat(F.lit("given:"), _gender(mention), F.lit(" "), F.get(words, F.lit(0)))
+        return F.when(F.size(words) > 1, F.array(given, family)).otherwise(F.array(family))
+
+    return F.when(kind_of(mention) == "name", let(_bare(mention), named)).otherwise(F.array(normal_form(mention)))
+
+
 def _marker(text: Column) -> Column:
     """A mark that the text doesn't hold."""
     return F.when(F.contains(text, F.lit("\x01")), F.concat(F.lit("\x01"), F.sha1(text.cast("binary")), F.lit("\x01"))).otherwise(F.lit("\x01"))
@@ -112,19 +138,20 @@ def draw(entity: Column, key: str, attempt: int) -> Column:
         table = F.array(*map(F.lit, SYLLABLES[script]))
         at = lambda i: F.element_at(table, F.conv(F.substring(h, i, 1), 16, 10).cast("int") + 1)
         woman, man = ENDINGS[script]
-        given = F.initcap(F.concat(at(1), at(2), F.when(F.startswith(value, F.lit("f ")), woman).otherwise(man)))
-        family = F.initcap(F.concat(*[at(i) for i in range(3, 9)]))
-        return F.when(F.substring(value, 3, 1000).contains(" "), F.concat(given, F.lit(" "), family)).otherwise(F.concat(family, F.when(F.startswith(value, F.lit("f ")), woman).otherwise(man)))
+        ending = F.when(F.startswith(value, F.lit("f ")), woman).otherwise(man)
+        # longer after every fourth attempt, so that there is a free one in the end
+        more = min(attempt // 4, 50)
+        return F.initcap(F.concat(F.when(kind == "given", F.concat(*[at(i) for i in range(1, 4 + more)])).otherwise(F.concat(*[at(i) for i in range(3, 9 + more)])), ending))
 
     names = F.when(value.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(value.rlike(r"\p{IsGreek}"), name("greek")).otherwise(name("latin"))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "name", names).otherwise(number)
+    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind.isin("name", "given"), names).otherwise(number)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entity, surrogate`` of distinct normal forms, all surrogates of a kind distinct and none of them an entity."""
     pending = settle(entities, "entities")
     kind = F.substring_index("entity", ":", 1)
-    bare = F.when(kind == "name", F.substring(F.col("entity"), 8, 10_000)).otherwise(F.expr("substring(entity, instr(entity, ':') + 1)"))
+    bare = F.when(kind.isin("name", "given"), F.regexp_replace("entity", "^[a-z]+:[fm] ", "")).otherwise(F.expr("substring(entity, instr(entity, ':') + 1)"))
     taken = pending.select(kind.alias("kind"), bare.alias("form"))
     done, attempt = None, 0
     while True:
@@ -153,13 +180,54 @@ def _filled(mention: Column, digits: Column) -> Column:
     return F.aggregate(F.split(mention, ""), start, step, lambda a: a["out"])
 
 
+def _cased(word: Column, surrogate: Column) -> Column:
+    """A name is all upper case by its own letters, whatever the title."""
+    return F.when(word.rlike(r"^[^\p{Ll}]+$"), F.upper(surrogate)).otherwise(surrogate)
+
+
 def rewritten(mention: Column, surrogate: Column) -> Column:
+    """The mention with its surrogate, which for a full name is given and family name."""
     kind = kind_of(mention)
-    title = F.regexp_extract(mention, r"^([\p{L}]+\.?[ \t]+)", 1)
     cased = F.when(mention == F.upper(mention), F.upper(surrogate)).otherwise(surrogate)
-    # a name is all upper case by its own letters, whatever the title
-    named = F.concat(title, F.when(F.substring(mention, F.length(title) + 1, F.length(mention)).rlike(r"^[^\p{Ll}]+$"), F.upper(surrogate)).otherwise(surrogate))
-    return F.when(kind.isin("phone", "card"), _filled(mention, surrogate)).when(kind == "name", named).when(kind == "email", cased).otherwise(surrogate)
+    title = _title(mention)
+    named = F.concat(title, _cased(F.substring(mention, F.length(title) + 1, F.length(mention)), surrogate))
+    # a telephone number keeps its calling code
+    code = F.substring(_digits(mention), F.lit(1), F.length(_digits(mention)) - F.length(national(mention)))
+    filled = F.when(kind == "phone", _filled(mention, F.concat(code, surrogate))).otherwise(_filled(mention, surrogate))
+    return F.when(kind.isin("phone", "card"), filled).when(kind == "name", named).when(kind == "email", cased).otherwise(surrogate)
+
+
+def _bare_parts(part: Column, mark: Column) -> Column:
+    """A part without titled names, with capitalised words at odd places."""
+    return F.split(F.regexp_replace(part, F.lit(r"(?<![\p{L}\p{N}'-])" + NAME_WORD), F.concat(mark, F.lit("$0"), mark)), mark, F.lit(-1))
+
+
+def _full(p: Column, names: Column, i: Column) -> Column:
+    """Surrogates of a full name whose given name is at ``i``."""
+    return F.when(F.get(p, i + 1).isin(" ", "\t"), names[F.concat(F.lower(F.get(p, i)), F.lit(" "), F.lower(F.get(p, i + 2)))])
+
+
+def _bare_names(part: Column, mark: Column, names: Column) -> Column:
+    """A part with the names of the text's persons replaced. ``names`` has full names, and family and given names alone."""
+
+    def words(p: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            found = F.coalesce(F.get(_full(p, names, i), F.lit(0)), F.get(_full(p, names, i - 2), F.lit(1)), F.get(names[F.lower(x)], F.lit(0)))
+            return F.when(i % 2 == 1, F.coalesce(_cased(x, found), x)).otherwise(x)
+
+        return F.array_join(F.transform(p, one), "")
+
+    return let(_bare_parts(part, mark), words)
+
+
+def _bare_count(part: Column, mark: Column, names: Column) -> Column:
+    """How many mentions ``_bare_names`` replaces; a full name is one."""
+
+    def count(p: Column) -> Column:
+        starts = lambda x, i: (i % 2 == 1) & _full(p, names, i - 2).isNull() & (_full(p, names, i).isNotNull() | names[F.lower(x)].isNotNull())
+        return F.size(F.filter(p, starts))
+
+    return let(_bare_parts(part, mark), count)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
@@ -170,13 +238,25 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text: str =
     has = F.coalesce(may_mention(F.col("body")) & F.col("body").rlike(ANY), F.lit(False))
     hit = rows.filter(has).withColumn("hash", F.xxhash64("body"))
     found = hit.select("id", "hash", F.explode(F.array_distinct(mentions_of(F.col("body")))).alias("mention"))
-    found = settle(found.withColumn("entity", normal_form(F.col("mention"))).distinct(), "mentions")
-    table = surrogates(found.select("entity").distinct(), key)
-    rewrites = found.join(table, "entity").select("id", "hash", F.struct("mention", rewritten(F.col("mention"), F.col("surrogate")).alias("to")).alias("pair"))
-    of_text = rewrites.groupBy(F.col("id").alias("map_id"), F.col("hash").alias("map_hash")).agg(F.map_from_entries(F.collect_set("pair")).alias("to"))  # of one text
+    found = settle(found.select("*", F.posexplode(entities_of(F.col("mention"))).alias("place", "entity")).distinct(), "mentions")
+    drawn = settle(found.join(surrogates(found.select("entity").distinct(), key), "entity"), "drawn")
+    words = F.transform(F.array_sort(F.collect_set(F.struct("place", "surrogate"))), lambda x: x["surrogate"])
+    whole = drawn.groupBy("id", "hash", "mention").agg(words.alias("words"))
+    rewrites = whole.select("id", "hash", F.struct("mention", rewritten(F.col("mention"), F.array_join("words", " ")).alias("to")).alias("pair"), F.lit(None).cast("struct<form:string,words:array<string>>").alias("named"))
+    # the names of a text: full ones, then family names, then given ones; of several persons the least entity's
+    persons = drawn.filter("entity like 'name:%' or entity like 'given:%'")
+    value = F.regexp_replace("entity", "^[a-z]+:[fm] ", "")
+    single = persons.groupBy("id", "hash", value.alias("form")).agg(F.min(F.struct(F.startswith("entity", F.lit("given:")).alias("given"), "entity", "surrogate")).alias("w")).select("id", "hash", "form", F.array("w.surrogate").alias("words"))
+    full = whole.filter((kind_of(F.col("mention")) == "name") & (F.size("words") == 2)).groupBy("id", "hash", F.array_join(_bare(F.col("mention")), " ").alias("form")).agg(F.min("words").alias("words"))
+    named = single.unionByName(full).select("id", "hash", F.lit(None).cast(dict(rewrites.dtypes)["pair"]).alias("pair"), F.struct("form", "words").alias("named"))
+    maps = [F.map_from_entries(F.collect_set("pair")).alias("to"), F.map_from_entries(F.collect_set("named")).alias("names")]
+    of_text = rewrites.unionByName(named).groupBy(F.col("id").alias("map_id"), F.col("hash").alias("map_hash")).agg(*maps)  # of one text
     joined = hit.join(of_text, F.col("id").eqNullSafe(F.col("map_id")) & (F.col("hash") == F.col("map_hash")), "left")
-    parts = let(parts_of(F.col("body")), lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 1, F.col("to")[x]).otherwise(x)))
-    changed = joined.select("row", F.array_join(parts, "").alias("body"), F.size(mentions_of(F.col("body"))).cast("long").alias("n"))
+    bare = lambda x: F.when(F.size("names") > 0, _bare_names(x, _marker(F.col("body")), F.col("names"))).otherwise(x)
+    parts = let(parts_of(F.col("body")), lambda p: F.transform(p, lambda x, i: F.when(i % 2 == 1, F.col("to")[x]).otherwise(bare(x))))
+    count_bare = lambda p: F.aggregate(F.transform(p, lambda x, i: F.when(i % 2 == 0, _bare_count(x, _marker(F.col("body")), F.col("names"))).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    n_bare = F.when(F.size("names") > 0, let(parts_of(F.col("body")), count_bare)).otherwise(0)
+    changed = joined.select("row", F.array_join(parts, "").alias("body"), (F.size(mentions_of(F.col("body"))) + n_bare).cast("long").alias("n"))
     both = changed.unionByName(rows.filter(~has).select("row", "body", F.lit(0).cast("long").alias("n")))
     new = {text: F.col("body")} | ({count: F.col("n")} if count else {})
     kept = [new.pop(c).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns]

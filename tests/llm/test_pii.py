@@ -54,3 +54,16 @@ def test_collisions(spark, monkeypatch):
 
 def test_empty(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_partial_names(spark):
+    """A person named with a title is the same person where the text has the full name, the family name or another title."""
+    text = "Mrs Anna Schmidt came. Mrs Schmidt's mail; Anna Schmidt, Dr. Anna Schmidt and SCHMIDT; Frau Dr. Schmidt. Mr Schmidt and Schmidtchen."
+    rows = run(spark, [(1, text), (2, "Anna Schmidt has no title here"), (3, "call +1 (017) 555-7713"), (4, "call (017) 555-7713")])
+    got = {r.doc_id: r.text for r in rows}
+    m = re.fullmatch(r"Mrs (\w+) (\w+) came\. Mrs (\w+)'s mail; (\w+) (\w+), Dr\. (\w+) (\w+) and (\w+); Frau Dr\. (\w+)\. Mr (\w+) and Schmidtchen\.", got[1])
+    assert m and m[1] == m[4] == m[6] != "Anna"
+    assert m[2] == m[3] == m[5] == m[7] == m[9] != "Schmidt" and m[8] == m[2].upper() and m[10] not in (m[2], "Schmidt")
+    assert got[2] == "Anna Schmidt has no title here"
+    assert got[3] == "call +1 " + got[4][5:] and "555-7713" not in got[3]
+    assert {r.doc_id: r.n for r in rows} == {1: 7, 2: 0, 3: 1, 4: 1}
