@@ -176,7 +176,17 @@ def _concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 
 def rate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Per row of ``docs``: its key, its statistics, ``base_failed``, ``distance`` and ``kept``."""
-    slim = docs.select(F.col(key), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"))
+    return _rated(docs, key, text, lang, source).drop("_row")
+
+
+def _row_hash(text: str, lang: str, source: str) -> Column:
+    """Hash of what a verdict hangs on besides the key; a null differs from an empty string."""
+    return F.xxhash64(*[x for c in (text, lang, source) for x in (F.col(c).isNull(), F.col(c).cast("string"))])
+
+
+def _rated(docs: DataFrame, key: str, text: str, lang: str, source: str) -> DataFrame:
+    """``rate`` with the ``_row_hash`` of each row."""
+    slim = docs.select(F.col(key), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_source"), _row_hash(text, lang, source).alias("_row"))
     vector = [f"{v} as {k}" for k, v in VECTOR.items()]
     counted = settle(statistics(slim, "_text").drop("_text").selectExpr("*", *vector), "quality")
     units = settle(_units(counted), "units")
@@ -190,10 +200,11 @@ def rate(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
         estimate = _estimate(_concentrated(good, estimate))
     far = rows.join(estimate, "unit", "left").selectExpr("*", *DISTANCE)
     kept = F.expr(f"not base_failed and d2 <= {CUT}")
-    return far.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, ~F.col("base_failed")).alias("kept"), F.col("d2").alias("distance"), "unit")
+    return far.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(kept, ~F.col("base_failed")).alias("kept"), F.col("d2").alias("distance"), "unit", "_row")
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep. Rows that agree in key, text, language and source are judged alike."""
-    verdicts = rate(docs, key, text, lang, source).groupBy(F.col(key).alias("__quern_key")).agg(F.bool_and("kept").alias("__quern_kept"))
-    return docs.join(verdicts.filter("__quern_kept"), F.col(key).eqNullSafe(F.col("__quern_key")), "left_semi")
+    verdicts = _rated(docs, key, text, lang, source).groupBy(F.col(key).alias("__quern_key"), F.col("_row").alias("__quern_row")).agg(F.bool_and("kept").alias("__quern_kept"))
+    same = F.col(key).eqNullSafe(F.col("__quern_key")) & (_row_hash(text, lang, source) == F.col("__quern_row"))
+    return docs.join(verdicts.filter("__quern_kept"), same, "left_semi")

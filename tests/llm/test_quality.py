@@ -72,3 +72,11 @@ def test_edges(spark):
     left = quality.keep(df)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} >= {1, None}
     assert quality.rate(df.limit(0)).count() == 0 and quality.keep(df.limit(0)).count() == 0
+
+
+def test_shared_keys(spark):
+    """A rejected text takes no other text along that has its key, null or not."""
+    good = [" ".join(f"{p}{i}" for i in range(80)) for p in ("word", "term")]
+    rows = [(k, t) for k in (None, 1) for t in (*good, "too short", None)]
+    df = spark.createDataFrame([(*r, "en", "a") for r in rows], "doc_id int, text string, lang string, source string")
+    assert sorted((r.doc_id or 0, r.text) for r in quality.keep(df).collect()) == sorted((k, t) for k in (0, 1) for t in good)
