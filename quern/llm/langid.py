@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from quern.session import settle
 
-#: Labelled texts of a language that its model is learned from, and languages at most (the most frequent).
+#: Labelled texts of a language that its model is learned from.
 PER_LANGUAGE = 1_500
-MOST_LANGUAGES = 100
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 15
 #: Trigrams from which on the evidence of a text stops to grow, as neighbouring trigrams aren't independent.
@@ -49,28 +48,29 @@ def _trigrams(text: str) -> np.ndarray:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and the log probabilities of the buckets in each."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and length(text) > 0")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, BUCKETS), dtype=np.float32)
     share = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
     most = F.create_map(*[x for lg in langs for x in (F.lit(lg), F.lit(PER_LANGUAGE / sizes[lg]))])
-    chosen = rows.filter(F.col("lang").isin(langs)).filter(share < most[F.col("lang")])
+    chosen = rows.filter(share < most[F.col("lang")])
 
     def count(batches):
-        total = np.zeros((len(langs), BUCKETS), dtype=np.int64)
         at = {lg: i for i, lg in enumerate(langs)}
         for batch in batches:
+            grams = {}
             for t, lg in zip(batch.column("text"), batch.column("lang").to_pylist()):
-                total[at[lg]] += np.bincount(_trigrams(t.as_py()), minlength=BUCKETS)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["lang", "bucket", "n"])
+                grams.setdefault(at[lg], []).append(_trigrams(t.as_py()))
+            for i, each in grams.items():
+                j, n = np.unique(np.concatenate(each), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i, dtype=np.int32)), pa.array(j.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "bucket", "n"])
 
-    counts = np.full((len(langs), BUCKETS), 0.5)
+    counts = np.full((len(langs), BUCKETS), 0.5, dtype=np.float32)
     summed = chosen.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    for r in summed.collect():  # BUCKETS rows a language at most
-        counts[r.lang, r.bucket] += r.n
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    got = summed.toArrow()  # BUCKETS rows a language at most
+    counts[got["lang"].to_numpy(), got["bucket"].to_numpy()] += got["n"].to_numpy()
+    return langs, np.log(counts / counts.sum(axis=1, keepdims=True, dtype=np.float64)).astype(np.float32)
 
 
 def text_evidence(text: Column, logs: np.ndarray) -> Column:

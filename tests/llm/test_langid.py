@@ -28,3 +28,14 @@ def test_signs_decide_short_texts(spark):
     assert abs(got[101][1] - 0.5) < 0.1
     assert langid.identify(langid.signs_of_pages(pages.limit(0)), langs, logs).count() == 0
     assert langid.identify(langid.signs_of_pages(pages), *langid.learn(train.limit(0))).filter("lang is null").count() == len(rows)
+
+
+def test_every_label_is_learned(spark):
+    """A table with more than a hundred languages: the rarest of them is found too."""
+    word = lambda i: "".join(chr(97 + (i * 7 + k * k * (i + 3)) % 26) for k in range(12))
+    train = [(f"{word(i)} {word(i)[::-1]}", f"l{i:03}") for i in range(120) for _ in range(2)]
+    train.append(("qqxzzx xqqzxq zzqxxz", "rare"))
+    langs, logs = langid.learn(spark.createDataFrame(train, "text string, lang string"))
+    assert len(langs) == 121 == len(logs)
+    docs = spark.createDataFrame([(1, "qqxzzx xqqzxq zzqxxz", None)], "doc_id long, text string, source string")
+    assert [r.lang for r in langid.identify(langid.signs_of_documents(docs), langs, logs).collect()] == ["rare"]
