@@ -148,7 +148,7 @@ def identify(rows: DataFrame, langs: list[str], logs: np.ndarray) -> DataFrame:
 def signs_of_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Rows for ``identify`` of web pages."""
     body, address = F.col(html).cast("string"), F.col(url).cast("string")
-    declared = F.lower(F.regexp_extract(F.substring(body, 1, 1 << 20), r"""(?i)<html[^>]*?\slang\s*=\s*["']?([a-z]{2,3})\b""", 1))
+    declared = F.lower(F.regexp_extract(body, r"""(?i)<html[^>]*?\slang\s*=\s*["']?([a-z]{2,3})\b""", 1))
     host = F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     return pages.select(
         F.struct(F.col(key).alias(key)).alias("id"),

@@ -39,3 +39,8 @@ def test_every_label_is_learned(spark):
     assert len(langs) == 121 == len(logs)
     docs = spark.createDataFrame([(1, "qqxzzx xqqzxq zzqxxz", None)], "doc_id long, text string, source string")
     assert [r.lang for r in langid.identify(langid.signs_of_documents(docs), langs, logs).collect()] == ["rare"]
+
+
+def test_declared_language_after_a_long_comment(spark):
+    pages = spark.createDataFrame([(1, None, f"<!--{'x' * (1 << 20)}--><html lang='de'>")], "page_id long, url string, html string")
+    assert langid.signs_of_pages(pages).first().declared == "de"
