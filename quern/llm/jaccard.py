@@ -1,27 +1,29 @@
 """N-gram Jaccard join: which documents have shingle sets of a similarity of at least ``num / den``.
 
-A token-group matrix, built and searched by Spark. Every document's shingle set is cut by hash into blocks, and a
-block's content is a token, so that documents within the similarity differ in fewer blocks than there are and
-share a token (each differing block costs a shingle). The steps:
-
-1. Equal sets are one entry.
-2. Of the entries that share a token with another, the shingles that no other one has are counted. They differ in every
-   comparison, so an entry with too many of them can't be linked and goes.
-3. Similar entries form groups: the entries of a token are compared with one pivot of the token, the entry with the
-   fewest shingles of its own, a comparison for each entry, and verified links join them to groups. That is done twice,
-   the second time with a pivot from another group.
-4. The matrix holds which groups have a token, in cells of members with equal numbers of private and common
-   shingles. Two cells' numbers bound the overlap of their members; only cells that the bound lets through are opened:
-   their members' common shingles are cut into as few blocks as the bound leaves, and members of different groups
-   that share such a block are compared. Members of one group are linked already.
-5. Linked groups make components.
+A token-group matrix, built and searched by Spark:
+
+1. Equal sets are one entry. Every set is cut by hash into blocks, and a block's content is a block token: sets within the
+   similarity differ in fewer blocks than there are (each differing block costs a shingle), so entries that
+   share no block token with another set can't be linked and go no further.
+2. The tokens of the matrix are shingles. Those of an entry are sorted by the number of entries that have them, the rarest first. Of two
+   linked entries the first so many tokens of each, what is left over beside the overlap that their sizes demand and one more,
+   have one in common. Tokens of one entry only count towards these and are never met.
+3. Similar entries are partitioned into groups: the entries of a token are compared with one pivot of the token, the entry with the
+   fewest tokens of its own, a comparison for each entry, and verified links make groups. That is done twice, the second time
+   with a pivot from another group. Members of one group are linked already and aren't compared again.
+4. The matrix holds, for each group, the union of its members' first tokens by classes of the two sizes. Entries meet the unions of
+   other groups in it, those of the smaller group as queries.
+5. The overlap of a query with the union of all tokens of a group bounds its overlap with every member. Only groups whose
+   union reaches what the query's size demands are opened: their members that share a first token with the query are compared with it.
+6. Linked groups make components.
 
 Nothing is sampled or capped, and the links that count for the components are all found. Exact for sets of 64-bit
 shingle hashes.
 
-Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing;
-repeated rows and equal sets are one component; a null key gives a row with the component of its text, or null if
-nothing with a key is linked; an empty table gives no rows; other columns aren't read.
+Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; repeated rows and equal sets are
+one component; different texts with one key are judged by themselves; a null key is left out of the smallest key of a component, which is
+null if none is there; very long texts are whole sets; ties (equal frequencies, equal pivots) are broken by hash and id and change no
+result; an empty table gives no rows; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,14 +35,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.operators.components import connected_components
 from quern.session import settle
 
 #: Ratio of the sizes at the two ends of a size class.
 CLASS_RATIO = 1.5
-FINE_RATIO = 1.05
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)]
 
@@ -124,208 +124,219 @@ def block_tokens(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
-def fine_tokens(common: np.ndarray, n: int, private: int, num: int, den: int) -> np.ndarray:
-    """Tokens of a set's shingles that others have too, for partners of every number of private shingles.
+@lru_cache(maxsize=8)
+def size_starts(num: int, den: int, limit: int = 1 << 40) -> np.ndarray:
+    """First sizes of the classes for the matrix: so narrow that a class's width moves the demanded overlap by a sixteenth of the slack."""
+    starts = [1]
+    while starts[-1] < limit:
+        starts.append(starts[-1] + max(1, starts[-1] * (den - num) // (8 * num)))
+    return np.array(starts, dtype=np.int64)
 
-    Private shingles differ in any case, so of the d shingles in which two linked sets may differ only d less both sets' private
-    ones are left for the common parts, and so many blocks and one more do. Private numbers are taken down to one
-    of eight steps; sets meet in the class of the smaller, as in ``block_tokens``, but classes are narrower.
+
+def first_tokens(common: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
+    """Keys in the matrix of a set of ``n`` tokens, of which ``common``, the rarest first, are in other sets too.
+
+    A partner of at least ``low`` tokens shares ``num (n + low) / (num + den)`` of them or more, so without one of the first
+    ``n + 1`` less so many the two can't be linked. A key is made of the token and both classes, the smaller first.
     """
-    starts = _class_starts(FINE_RATIO)
-    apart = lambda size: size * (den - num) // num
+    starts = size_starts(num, den)
+    least, most = -(-n * num // den), n * den // num
     own = int(np.searchsorted(starts, n, side="right")) - 1
-    low = int(np.searchsorted(starts, -(-n * num // den), side="right")) - 1
     out = []
-    for c in range(low, own + 1):
-        most = apart(int(starts[c + 1]) - 1)
-        step = max(1, most // 8)
-        mine = private // step * step
-        for other in range(0, most - mine + 1, step):
-            left = most - mine - other
-            spare = 2 + (left + 1) // 12
-            blocks = left + 1 + spare
-            salt = xxhash.xxh3_64_intdigest(f"{c} {min(mine, other)} {max(mine, other)}")
-            out.append(_cut(common, blocks, blocks, spare, salt))
+    for c in range(int(np.searchsorted(starts, least, side="right")) - 1, int(np.searchsorted(starts, most, side="right"))):
+        low = max(int(starts[c]), least)
+        k = n + 1 + (-num * (n + low) // (num + den)) - (n - len(common))
+        if k > 0:
+            salt = np.uint64((min(c, own) << 32) + max(c, own)) * _M[1]
+            out.append(_mix(common[:k] + salt))
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
+#: Bytes of arrays that a Python worker gathers before it hands them on.
+SLICE_BYTES = 4 << 20
+
+
+def _slices(batches, columns, make, kinds):
+    """Record batches of what ``make`` returns for each row (scalars and, last, an array of longs), in slices of bounded size."""
+
+    def batch_of(rows):
+        lists = [x[-1] for x in rows]
+        ends = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+        plain = [pa.array([x[i] for x in rows], kinds[i][1]) for i in range(len(kinds) - 1)]
+        values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([*plain, pa.ListArray.from_arrays(ends, values)], names=[k for k, _ in kinds])
+
+    for batch in batches:
+        rows, held = [], 0
+        for row in zip(*[batch.column(c) for c in columns]):
+            rows.append(make(*row))
+            held += 64 + rows[-1][-1].nbytes
+            if held >= SLICE_BYTES:
+                yield batch_of(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch_of(rows)
+
+
 @lru_cache(maxsize=4)
 def _shingler(width: int) -> Shingler:
     return Shingler(width)
 
 
 def prepare(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """``own, key, n, sig, half, tokens`` of every row; ``sig`` tells equal sets and is null for empty ones, ``half`` is a shorter one."""
-    schema = "own long, key long, n long, sig binary, half long, tokens array<long>"
+    """``own, hash, n, sig, half, tokens`` of every row; ``hash`` is the text's, ``sig`` tells equal sets and is null for empty ones, ``half`` is a shorter one."""
 
     def run(batches):
         shingle = _shingler(width)
-        for batch in batches:
-            own, keys, texts = batch.columns
-            n, sigs, halves, tokens, ends = [], [], [], [], [0]
-            for x in texts:
-                found = shingle(x.as_py())
-                n.append(len(found))
-                sigs.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                halves.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
-                tokens.append(block_tokens(found, num, den))
-                ends.append(ends[-1] + len(tokens[-1]))
-            values = pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64), type=pa.int64())
-            lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), values)
-            columns = [own, keys, pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), pa.array(halves, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["own", "key", "n", "sig", "half", "tokens"])
 
-    return _keyed(docs, key, text).mapInArrow(run, schema)
+        def make(own, h, body):
+            found = shingle(body.as_py())
+            raw = found.tobytes()
+            sig = xxhash.xxh3_128_digest(raw) if len(found) else None
+            return own.as_py(), h.as_py(), len(found), sig, xxhash.xxh3_64_intdigest(raw) - (1 << 63), block_tokens(found, num, den)
 
+        kinds = [("own", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("half", pa.int64()), ("tokens", None)]
+        yield from _slices(batches, ["own", "hash", "text"], make, kinds)
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``own``: the row's key; ``key``: the same, or for a null one a negative number made of the text."""
-    own, body = F.col(key).cast("long"), F.col(text).cast("string")
-    return docs.select(own.alias("own"), _inner_key(own, body).alias("key"), body.alias("text"))
+    return _rows(docs, key, text).mapInArrow(run, "own long, hash long, n long, sig binary, half long, tokens array<long>")
 
 
-def _inner_key(own: F.Column, body: F.Column) -> F.Column:
-    return F.coalesce(own, F.xxhash64(body).bitwiseOR(F.lit(-(1 << 63)).cast("long")))
+def _text_hash(text: str) -> F.Column:
+    return F.xxhash64(F.col(text).isNull(), F.col(text).cast("string"))
 
 
-def linked(left: F.Column, right: F.Column, width: int, num: int, den: int) -> F.Column:
-    """Whether two texts' shingle sets reach the similarity, counted exactly."""
-
-    @F.arrow_udf(T.BooleanType())
-    def judge(a: pa.Array, b: pa.Array) -> pa.Array:
-        shingle = _shingler(width)
-        out, last, of_last = [], None, None
-        for x, y in zip(a, b):
-            x, y = x.as_py(), y.as_py()
-            if x != last:  # rows of one pivot follow each other
-                last, of_last = x, shingle(x)
-            other = shingle(y)
-            both = len(np.intersect1d(of_last, other, assume_unique=True))
-            out.append(den * both >= num * (len(of_last) + len(other) - both))
-        return pa.array(out, type=pa.bool_())
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("own"), _text_hash(text).alias("hash"), F.col(text).cast("string").alias("text"))
 
-    return judge(left, right)
 
+#: Entries up to which their keys are broadcast to find their texts (32 bytes each); beyond, the join shuffles.
+BROADCAST_ENTRIES = 1_000_000
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Of the distinct ``a, b`` those that are linked."""
-    right = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    both = right.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    return both.filter(linked(F.col("left"), F.col("right"), width, num, den)).select("a", "b")
 
-
-def _private(texts: DataFrame, sizes: DataFrame, width: int) -> DataFrame:
-    """``id, n`` of each text and ``own``, the shingles that no other text has."""
+def _entries(docs: DataFrame, made: DataFrame, sets: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """``id, n, common`` of the sets that share enough with others to be linked: their tokens that others have too, the rarest first."""
+    held = made.select("half", F.explode("tokens").alias("token"))
+    # what only one set holds can't be shared
+    shared = held.groupBy("token").agg(F.min("half").alias("low"), F.max("half").alias("high")).filter("low < high").select("token")
+    meeting = settle(held.join(shared, "token").select("half").distinct(), "meeting")
+    able = settle(sets.join(meeting, "half", "left_semi").select("id", "n", F.col("own").alias("_own"), F.col("hash").alias("_hash")), "able")
+    small = able.count() <= BROADCAST_ENTRIES
+    same = F.col("own").eqNullSafe(F.col("_own")) & (F.col("hash") == F.col("_hash"))
+    texts = _rows(docs, key, text).join(F.broadcast(able) if small else able, same).select("id", "text").dropDuplicates(["id"])
 
     def run(batches):
         shingle = _shingler(width)
-        for batch in batches:
-            found = [shingle(x.as_py()).view(np.int64) for x in batch.column("text")]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64), type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "shingles"])
+        make = lambda i, body: (i.as_py(), shingle(body.as_py()).view(np.int64))
+        yield from _slices(batches, ["id", "text"], make, [("id", pa.int64()), ("tokens", None)])
+
+    whole = settle(texts.mapInArrow(run, "id long, tokens array<long>"), "shingles")
+    each = whole.select("id", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
+    listed = each.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("common"))  # of one text
+    found = able.select("id", "n").join(listed, "id").select("id", "n", F.col("common.token").alias("common"))
+    # tokens of one entry differ in every comparison; with too many of them no link is possible
+    return settle(found.filter(den * F.size("common") >= num * F.col("n")), "entries")
 
-    each = texts.mapInArrow(run, "id long, shingles array<long>").select("id", F.explode("shingles").alias("shingle"))
-    owners = each.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    alone = owners.filter("id = last").groupBy("id").agg(F.collect_list("shingle").alias("own"))  # of one text
-    return sizes.join(alone, "id", "left").select("id", "n", F.coalesce("own", F.array().cast("array<bigint>")).alias("own"))
 
+def _verified(pairs: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the distinct ``a, b`` those that are linked, by their whole sets."""
+    right = pairs.join(entries.toDF("b", "n_b", "right"), "b")
+    both = right.join(entries.toDF("a", "n_a", "left"), "a").withColumn("both", F.size(F.array_intersect("left", "right")))
+    return both.filter(den * F.col("both") >= num * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
-def _opened(members: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of ``id, label, n, own, text`` rows with different labels that share a fine token."""
+
+def _labels(entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, label, members`` of every entry: its group and the group's size."""
+    found = entries.select("id").join(connected_components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    found = settle(found, "labels")
+    return found.join(found.groupBy("label").agg(F.count("*").alias("members")), "label")
+
+
+def _candidates(entries: DataFrame, firsts: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of different groups that the matrix lets through."""
+    named = firsts.select("token", "id").join(labels.select("id", "label"), "id")
+    mixed = named.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("token")
+    open_ids = named.join(mixed, "token").select("id").distinct()
 
     def run(batches):
-        shingle = _shingler(width)
-        for batch in batches:
-            tokens = []
-            for n, own, text in zip(batch.column("n").to_pylist(), batch.column("own").to_pylist(), batch.column("text")):
-                common = np.setdiff1d(shingle(text.as_py()), np.array(own, dtype=np.int64).view(np.uint64), assume_unique=True)
-                tokens.append(fine_tokens(common, n, len(own), num, den))
-            ends = pa.array(np.cumsum([0, *map(len, tokens)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tokens), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), lists], names=["id", "label", "tokens"])
-
-    made = members.mapInArrow(run, "id long, label long, tokens array<long>").select("id", "label", F.explode("tokens").alias("token"))
-    made = settle(made, "fine")
-    mixed = made.groupBy("token").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("token")
-    rows = made.join(mixed, "token")
-    left, right = rows.toDF("token", "a", "left_label"), rows.toDF("token", "b", "right_label")
-    pairs = left.join(right, "token").filter("left_label < right_label")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        make = lambda i, n, label, members, common: (
+            i.as_py(), label.as_py(), members.as_py(), first_tokens(common.values.to_numpy().view(np.uint64), n.as_py(), num, den)
+        )
+        kinds = [("id", pa.int64()), ("label", pa.int64()), ("members", pa.int64()), ("keys", None)]
+        yield from _slices(batches, ["id", "n", "label", "members", "common"], make, kinds)
+
+    known = entries.join(open_ids, "id", "left_semi").join(labels, "id").select("id", "n", "label", "members", "common")
+    made = known.mapInArrow(run, "id long, label long, members long, keys array<long>")
+    rows = settle(made.select("id", "label", "members", F.explode("keys").alias("key")), "matrix_rows")
+    unions = rows.select("key", "label", "members").distinct()
+    several = unions.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
+    rows = settle(rows.join(several, "key"), "matrix")
+    unions = rows.select("key", F.col("label").alias("group"), F.col("members").alias("group_members")).distinct()
+    smaller = F.struct("members", "label") < F.struct("group_members", "group")
+    met = settle(rows.join(unions, "key").filter(smaller).select("id", "group", "group_members").distinct(), "met")
+    single = met.filter("group_members = 1").select(F.col("id").alias("a"), F.col("group").alias("b"))
+    # the bound: what a query shares with the union of a group
+    many = met.filter("group_members > 1").select("id", "group")
+    members = labels.join(many.select(F.col("group").alias("label")).distinct(), "label", "left_semi").select("id", F.col("label").alias("group"))
+    union = members.join(entries, "id").select("group", F.explode("common").alias("token")).distinct()
+    asked = many.join(entries, "id").select("id", "group", "n", F.explode("common").alias("token"))
+    overlap = asked.join(union, ["group", "token"]).groupBy("id", "group", "n").agg(F.count("*").alias("overlap"))
+    opened = overlap.filter(den * F.col("overlap") >= num * F.col("n")).select("id", "group")
+    queries = rows.select("id", "key").join(settle(opened, "opened"), "id")
+    pairs = queries.join(rows.select("key", F.col("label").alias("group"), F.col("id").alias("b")), ["key", "group"]).select(F.col("id").alias("a"), "b")
+    return single.unionByName(pairs.distinct())
 
 
 def _classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """``own, key, n`` of every row, the ``label`` of its component and the component's smallest real key ``least``."""
+    """``own, hash, n`` of every row and the ``label`` of its component, null for an empty set."""
     made = settle(prepare(docs, key, text, width, num, den), "sets")
-    entries = settle(made.filter("sig is not null").groupBy("sig").agg(F.min("key").alias("id")), "entries")
-    held = made.select("key", "half", F.explode("tokens").alias("token"))
-    # what only one set holds can't be shared; of equal sets one entry goes on
-    shared = held.groupBy("token").agg(F.min("half").alias("low"), F.max("half").alias("high")).filter("low < high").select("token")
-    rows = held.select("token", F.col("key").alias("id")).join(shared, "token")
-    rows = settle(rows.distinct(), "shared")  # kept first, else Spark would shuffle whole arrays to find the entries
-    tokens = settle(rows.join(entries.select("id"), "id", "left_semi"), "tokens")
-    ids = tokens.select("id").distinct()
-    # a key that several texts have stands for all of their sets
-    texts = _keyed(docs, key, text).select(F.col("key").alias("id"), "text").join(ids, "id", "left_semi").distinct()
-    texts = settle(texts, "texts")
-    sizes = made.select(F.col("key").alias("id"), "n").join(ids, "id", "left_semi").groupBy("id").agg(F.max("n").alias("n"))
-    # what an entry shares with no other one differs in every comparison; with too much of it no link is possible
-    able = _private(texts, sizes, width).withColumn("private", F.size("own")).filter((den - num) * F.col("n") >= den * F.col("private"))
-    able = settle(able, "bounds")
-    bounds = able.select("id", "private", (F.col("n") - F.col("private")).alias("common"))
-    tokens = settle(tokens.join(bounds, "id"), "able")
-    texts = settle(texts.join(bounds.select("id"), "id", "left_semi"), "texts")
-    labels = bounds.select("id", F.col("id").alias("label"))
+    first = F.min(F.struct("own", "hash")).alias("first")
+    sets = made.filter("sig is not null").groupBy("sig").agg(first, F.min("n").alias("n"), F.min("half").alias("half"))
+    sets = settle(sets.select("sig", "n", "half", "first.own", "first.hash", F.monotonically_increasing_id().alias("id")), "distinct_sets")
+    entries = _entries(docs, made, sets, key, text, width, num, den)
+    private = F.col("n") - F.size("common")
+    slack = F.col("n") + 1 - F.ceil(num * F.col("n") / den).cast("long") - private
+    firsts = entries.select("id", private.alias("private"), F.size("common").alias("common"), F.explode(F.slice("common", F.lit(1), slack.cast("int"))).alias("token"))
+    labels = entries.select("id", F.col("id").alias("label"))
     edges = None
-    # pivots: the entry with the least of its own, first of all entries, then of a group that the hash picks
-    for rank in (F.struct("private", "id", "label"), F.struct(F.xxhash64("label").alias("pick"), "private", "id", "label")):
-        named = tokens.join(labels, "id")
-        pivots = named.groupBy("token").agg(F.min(rank).alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        pivots = pivots.filter("l0 < l1").select("token", F.col("p.id").alias("a"), F.col("p.label").alias("pivot_label"))
-        pairs = named.join(pivots, "token").filter("label != pivot_label").select("a", F.col("id").alias("b")).distinct()
-        found = settle(_verified(pairs, texts, width, num, den), "links")
+    # pivots: the entry with the fewest tokens of its own, first of all entries, then of a group that the hash picks
+    for rank in (F.struct("private", "id", "label", "common"), F.struct(F.xxhash64("label").alias("pick"), "private", "id", "label", "common")):
+        named = firsts.join(labels.select("id", "label"), "id")
+        pivots = named.groupBy("token").agg(F.min(rank).alias("p"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1")
+        pivots = pivots.select("token", F.col("p.id").alias("a"), F.col("p.label").alias("pivot_label"), F.col("p.private").alias("p_private"), F.col("p.common").alias("p_common"))
+        low, high = F.least("common", "p_common"), F.greatest("common", "p_common")
+        reach = den * low >= num * (high + F.col("private") + F.col("p_private"))
+        pairs = named.join(pivots, "token").filter((F.col("label") != F.col("pivot_label")) & reach).select("a", F.col("id").alias("b")).distinct()
+        found = settle(_verified(pairs, entries, num, den), "links")
         edges = found if edges is None else edges.unionByName(found)
-        labels = bounds.join(connected_components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-        labels = settle(labels, "labels")
-    # the matrix: for each token the groups that hold it, in cells of equal bounds
-    named = settle(tokens.join(labels, "id"), "matrix")
-    cells = named.groupBy("token", "private", "common").agg(F.min("label").alias("g0"), F.max("label").alias("g1"))
-    other = cells.toDF("token", *[f"other_{c}" for c in cells.columns[1:]])
-    low, high = F.least("common", "other_common"), F.greatest("common", "other_common")
-    reach = den * low >= num * (high + F.col("private") + F.col("other_private"))
-    differ = ~((F.col("g0") == F.col("g1")) & (F.col("g0") == F.col("other_g0")) & (F.col("g0") == F.col("other_g1")))
-    once = F.struct("private", "common") <= F.struct("other_private", "other_common")
-    qualify = cells.join(other, "token").filter(reach & differ & once)
-    cell = ["token", "private", "common"]
-    qualify = qualify.select(*cell, "other_private", "other_common")
-    touched = qualify.select(*cell).unionByName(qualify.select("token", F.col("other_private").alias("private"), F.col("other_common").alias("common")))
-    members = named.join(touched.distinct(), cell, "left_semi").select("id", "label").distinct().join(able.select("id", "n", "own"), "id").join(texts, "id")
-    opened = _opened(members, width, num, den)
-    last = settle(_verified(opened, texts, width, num, den), "links")
-    labels = connected_components(edges.unionByName(last))
-    named = made.select("own", "key", "n", "sig").join(entries, "sig", "left").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = settle(named.select("own", "key", "n", F.coalesce("label", "key").alias("label"), F.col("label").isNotNull().alias("linked")), "named")
-    # rows without words are alone, whatever other rows have their key
-    least = named.filter("linked").groupBy("label").agg(F.min("own").alias("least")).withColumn("linked", F.lit(True))
-    return named.join(least, ["label", "linked"], "left").select("own", "key", "n", "label", F.coalesce("least", "own").alias("least"))
+        labels = settle(_labels(entries, edges), "labels")
+    last = settle(_verified(_candidates(entries, firsts, labels, num, den), entries, num, den), "links")
+    labels = connected_components(edges.unionByName(last)).select("id", F.col("label").alias("group"))
+    named = sets.select("sig", "id").join(labels, "id", "left").select("sig", F.coalesce("group", "id").alias("label"))
+    return settle(made.select("own", "hash", "n", "sig").join(named, "sig", "left").drop("sig"), "named")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``n_shingles`` and ``component_id``, the smallest key that links reach."""
     found = _classes(docs, key, text, width, num, den)
-    return found.select(F.col("own").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
+    least = found.filter("label is not null").groupBy("label").agg(F.min("own").alias("least"))
+    out = found.join(least, "label", "left")
+    return out.select(F.col("own").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("own")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest key, or without keys the one whose text has the
-    smallest hash; of rows that repeat a kept key, one stays."""
-    found = _classes(docs, key, text, width, num, den)
-    stay = F.coalesce("least", "label")
-    gone = found.filter(F.col("key") != stay).select(F.col("key").alias("__quern_key")).distinct()
-    # most keys are there once: only the others are gathered
-    twice = found.groupBy(F.col("key").alias("__quern_key")).agg(F.count("*").alias("n")).filter("n > 1").select("__quern_key")
-    rows = docs.select("*", _inner_key(F.col(key).cast("long"), F.col(text).cast("string")).alias("__quern_row"))
-    same = F.col("__quern_row") == F.col("__quern_key")
-    rest = rows.join(gone, same, "left_anti")
-    once, more = rest.join(twice, same, "left_anti"), rest.join(twice, same, "left_semi").dropDuplicates(["__quern_row"])
-    return once.unionByName(more).drop("__quern_row")
+    """``docs`` with one document of each component: the one with the smallest key (of equal keys, or without keys, the one whose text has
+    the smallest hash). Of rows that repeat both, also of those without words, one stays."""
+    found = _classes(docs, key, text, width, num, den).select("label", F.struct(F.col("own").isNull().alias("none"), "own", "hash").alias("row"))
+    stay = found.filter("label is not null").groupBy("label").agg(F.min("row").alias("stay"), F.count("*").alias("rows")).filter("rows > 1")
+    # components of one row, most of all, are done; in the others all rows but one go
+    linked = found.join(stay, "label").select("row", "stay")
+    empty = found.filter("label is null").select("row", F.col("row").alias("stay"))
+    rest = settle(linked.unionByName(empty).groupBy("row").agg(F.min("stay").alias("stay"), F.count("*").alias("n")), "dropped")
+    gone = rest.filter("row != stay").select(F.col("row.own").alias("__quern_own"), F.col("row.hash").alias("__quern_hash"))
+    twice = rest.filter("row = stay and n > 1").select(F.col("row.own").alias("__quern_own"), F.col("row.hash").alias("__quern_hash"))
+    rows = docs.select("*", F.col(key).cast("long").alias("__quern_key"), _text_hash(text).alias("__quern_text"))
+    same = F.col("__quern_key").eqNullSafe(F.col("__quern_own")) & (F.col("__quern_text") == F.col("__quern_hash"))
+    kept = rows.join(gone, same, "left_anti")
+    once, more = kept.join(twice, same, "left_anti"), kept.join(twice, same, "left_semi").dropDuplicates(["__quern_key", "__quern_text"])
+    return once.unionByName(more).drop("__quern_key", "__quern_text")
