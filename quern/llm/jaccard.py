@@ -126,10 +126,10 @@ def block_tokens(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
 
 @lru_cache(maxsize=8)
 def size_starts(num: int, den: int, limit: int = 1 << 40) -> np.ndarray:
-    """First sizes of the classes for the matrix: so narrow that a class's width moves the demanded overlap by a sixteenth of the slack."""
+    """First sizes of the classes for the matrix, each a sixteenth of the slack wide."""
     starts = [1]
     while starts[-1] < limit:
-        starts.append(starts[-1] + max(1, starts[-1] * (den - num) // (8 * num)))
+        starts.append(starts[-1] + max(1, starts[-1] * (den - num) // (16 * num)))
     return np.array(starts, dtype=np.int64)
 
 
@@ -137,7 +137,8 @@ def first_tokens(common: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
     """Keys in the matrix of a set of ``n`` tokens, of which ``common``, the rarest first, are in other sets too.
 
     A partner of at least ``low`` tokens shares ``num (n + low) / (num + den)`` of them or more, so without one of the first
-    ``n + 1`` less so many the two can't be linked. A key is made of the token and both classes, the smaller first.
+    ``n + 1`` less so many the two can't be linked. A key is made of the token and both classes, the smaller first; its two lowest
+    bits tell which of them is the set's own: 0 the smaller, 1 the larger, 2 both.
     """
     starts = size_starts(num, den)
     least, most = -(-n * num // den), n * den // num
@@ -147,8 +148,8 @@ def first_tokens(common: np.ndarray, n: int, num: int, den: int) -> np.ndarray:
         low = max(int(starts[c]), least)
         k = n + 1 + (-num * (n + low) // (num + den)) - (n - len(common))
         if k > 0:
-            salt = np.uint64((min(c, own) << 32) + max(c, own)) * _M[1]
-            out.append(_mix(common[:k] + salt))
+            salt = _mix(np.array([(min(c, own) << 32) + max(c, own)], dtype=np.uint64))
+            out.append(_mix(common[:k] + salt) & ~np.uint64(3) | np.uint64(2 if c == own else own > c))
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
@@ -268,12 +269,14 @@ def _candidates(entries: DataFrame, firsts: DataFrame, labels: DataFrame, num: i
     known = entries.join(open_ids, "id", "left_semi").join(labels, "id").select("id", "n", "label", "members", "common")
     made = known.mapInArrow(run, "id long, label long, members long, keys array<long>")
     rows = settle(made.select("id", "label", "members", F.explode("keys").alias("key")), "matrix_rows")
-    unions = rows.select("key", "label", "members").distinct()
-    several = unions.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("key")
-    rows = settle(rows.join(several, "key"), "matrix")
+    pair = F.expr("shiftright(key, 1)").alias("pair")  # of both sides
+    several = rows.groupBy(pair).agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1").select("pair")
+    rows = settle(rows.withColumn("pair", pair).join(several, "pair").drop("pair"), "matrix")
+    # a query of one class meets the unions that members of the other class have made
+    asking = rows.withColumn("key", F.when(F.col("key").bitwiseAND(2) == 0, F.col("key").bitwiseXOR(1)).otherwise(F.col("key")))
     unions = rows.select("key", F.col("label").alias("group"), F.col("members").alias("group_members")).distinct()
     smaller = F.struct("members", "label") < F.struct("group_members", "group")
-    met = settle(rows.join(unions, "key").filter(smaller).select("id", "group", "group_members").distinct(), "met")
+    met = settle(asking.join(unions, "key").filter(smaller).select("id", "group", "group_members").distinct(), "met")
     single = met.filter("group_members = 1").select(F.col("id").alias("a"), F.col("group").alias("b"))
     # the bound: what a query shares with the union of a group
     many = met.filter("group_members > 1").select("id", "group")
@@ -282,7 +285,7 @@ def _candidates(entries: DataFrame, firsts: DataFrame, labels: DataFrame, num: i
     asked = many.join(entries, "id").select("id", "group", "n", F.explode("common").alias("token"))
     overlap = asked.join(union, ["group", "token"]).groupBy("id", "group", "n").agg(F.count("*").alias("overlap"))
     opened = overlap.filter(den * F.col("overlap") >= num * F.col("n")).select("id", "group")
-    queries = rows.select("id", "key").join(settle(opened, "opened"), "id")
+    queries = asking.select("id", "key").join(settle(opened, "opened"), "id")
     pairs = queries.join(rows.select("key", F.col("label").alias("group"), F.col("id").alias("b")), ["key", "group"]).select(F.col("id").alias("a"), "b")
     return single.unionByName(pairs.distinct())
 

@@ -78,3 +78,29 @@ def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op1_ngram_jaccard(spark, sf).collect()}
     assert got == brute([(d.doc_id, d.text) for d in docs], 3, 90, 100)
+
+
+def copies(seed, n, words):
+    """Copies of one text of 150 words with up to ten words changed."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(900)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rnd.randrange(11)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(words)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_many_copies(spark):
+    check(spark, copies(3, 300, 4) + [(1000 + k, t) for k, t in copies(4, 300, 10_000)], 3, 90, 100)
+
+
+def test_repeated_key(spark):
+    """Different texts with one key are judged by themselves."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, one), (1, two), (2, two), (3, "c " * 9)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in jaccard.components(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]
+    assert sorted((r.doc_id, r.text[:1]) for r in jaccard.keep_first(df).collect()) == [(1, "a"), (1, "b"), (3, "c")]
