@@ -7,7 +7,7 @@ second encoding: whole parts are added up, and inside the part where the budget
 
 Prefixes are those of the normalised text (NFC, one space for white space, lower case by character).
 Defined cases: null and empty texts count 0 tokens; the vocabulary's special strings inside a text are one token each,
-as the library has it; repeated rows have equal results; an empty table gives no rows; other columns are left alone.
+as the library has it; a text without spaces costs time in proportion to its length; repeated rows have equal results; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -47,6 +47,10 @@ class PrefixCounter:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.split = regex.compile(pattern).findall
         self.places = regex.compile(pattern).finditer
+        parts = pattern.split("|")
+        #: length of the longest fixed alternative, and what matches a run that one of the others takes whole
+        self.short = max([0, *(len(x) for x in parts if not x.startswith("["))])
+        self.runs = regex.compile(r"\p{L}+|[^\s\p{L}\p{N}]+").fullmatch if {r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"} <= set(parts) else None
         self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or "(?!)")
         self.letters = _byte_letters()
         self.longest = max(map(len, self.vocab))
@@ -135,11 +139,13 @@ class PrefixCounter:
         """Tokens of every prefix of one pre-token, by characters, from none to all."""
         letters = self.spelled(word)
         last, count = self.open_prefixes(letters)
+        # in a run of one kind of characters every prefix is one pre-token, but for those as short as the fixed alternatives
+        run = len(word) > self.short and self.runs is not None and self.runs(word) is not None
         out, j = [0], 0
         for k in range(1, len(word) + 1):
             j += len(word[k - 1].encode("utf-8"))
-            parts = self.split(word[:k])
-            out.append(self.closed(letters, j, last, count) if parts == [word[:k]] else sum(map(self.word, parts)))
+            parts = None if run and k > self.short else self.split(word[:k])
+            out.append(self.closed(letters, j, last, count) if parts is None or len(parts) == 1 and len(parts[0]) == k else sum(map(self.word, parts)))
         return out
 
     def chunk(self, chunk: str) -> int:
@@ -159,10 +165,25 @@ class PrefixCounter:
             at = m.end()
         yield text[at:], None
 
+    def measured(self, text: str) -> tuple[list[str], list[int], list[int]]:
+        """Pieces of a text (chunks between spaces, as pre-tokens never cross one, and special strings), the spaces before each, and its tokens."""
+        if "<|" not in text:
+            pieces = text.split(" ")
+            return pieces, [0] + [1] * (len(pieces) - 1), list(map(self.chunk, pieces))
+        pieces, gaps, sizes = [], [], []
+        for part, special in self.segments(text):
+            chunks = part.split(" ")
+            pieces += chunks
+            gaps += [0] + [1] * (len(chunks) - 1)
+            sizes += map(self.chunk, chunks)
+            if special is not None:
+                pieces.append(special)
+                gaps.append(0)
+                sizes.append(1)
+        return pieces, gaps, sizes
+
     def count(self, text: str) -> int:
-        if "<|" not in text:  # pre-tokens never cross a space
-            return sum(map(self.chunk, text.split(" ")))
-        return sum(sum(map(self.chunk, x.split(" "))) + (special is not None) for x, special in self.segments(text))
+        return sum(self.measured(text)[2])
 
     def prefix_counts(self, text: str) -> list[int]:
         """Tokens of every prefix of the normalised text, which must hold no special string."""
@@ -179,19 +200,17 @@ class PrefixCounter:
 
     def cut(self, text: str, budget: int) -> int:
         """Characters of the longest prefix of the normalised text that has at most ``budget`` tokens."""
+        return self.cut_of(*self.measured(text), budget)
+
+    def cut_of(self, pieces: list[str], gaps: list[int], sizes: list[int], budget: int) -> int:
+        """``cut`` from the stored counts; only the piece in which the budget ends is looked into, at its prefixes' counts."""
         kept = done = 0
-        for part, special in self.segments(text):
-            for i, chunk in enumerate(part.split(" ")):
-                size = self.chunk(chunk)
-                if done + size > budget:
-                    counts = self.prefix_counts(chunk)
-                    return kept + (i > 0) + max(k for k, n in enumerate(counts) if done + n <= budget)
-                done += size
-                kept += (i > 0) + len(self.normalise(chunk))
-            if special is not None:
-                if done + 1 > budget:
+        for piece, gap, size in zip(pieces, gaps, sizes):
+            if done + size > budget:
+                if self.special.fullmatch(piece):
                     return kept
-                done, kept = done + 1, kept + len(special)
+                return kept + gap + max(k for k, n in enumerate(self.prefix_counts(piece)) if done + n <= budget)
+            done, kept = done + size, kept + gap + len(self.normalise(piece))
         return kept
 
 
@@ -210,8 +229,9 @@ def count_column(docs: DataFrame, file: str, budget: int, text: str = "text") ->
         n, cuts = [], []
         for x in texts:
             x = x.as_py() or ""
-            n.append(counter_.count(x))
-            cuts.append(counter_.cut(x, budget) if n[-1] > budget else len(counter_.normalise(x)))
+            found = counter_.measured(x)
+            n.append(sum(found[2]))
+            cuts.append(counter_.cut_of(*found, budget) if n[-1] > budget else len(counter_.normalise(x)))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(cuts, pa.int64())], ["n_tokens", "cut_chars"])
 
     made = docs.withColumn("_counts", counts.asNondeterministic()(F.col(text).cast("string")))

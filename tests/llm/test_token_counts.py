@@ -1,3 +1,5 @@
+import time
+
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,3 +52,15 @@ def test_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = {r.doc_id: r.n_tokens for r in op9_token_counts(spark, sf).collect()}
     assert got == {d.doc_id: library(d.text) for d in docs}
+
+
+def test_unbroken_runs():
+    """Every prefix of a long run, and a run of a million letters in seconds."""
+    for run in ("ab'sThe" * 30, "漢字" * 60, "...!" * 40, "don'tdon't" * 9):
+        plain = MINE.normalise(run)
+        assert MINE.prefix_counts(run) == [library(plain[:k]) for k in range(len(plain) + 1)]
+    letters = "".join("theraniongst"[i * i % 12] for i in range(1_000_000))
+    start = time.time()
+    at = MINE.cut(letters, 1000)
+    assert time.time() - start < 30
+    assert library(letters[:at]) <= 1000 < library(letters[: at + 1])
