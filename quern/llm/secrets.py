@@ -42,6 +42,8 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
+#: Candidate texts up to which their keys and kinds are broadcast (about 50 bytes each).
+BROADCAST_CANDIDATES = 1_000_000
 #: Strings that a run of literals may stand for before a clause is closed.
 MOST_STRINGS = 64
 
@@ -147,8 +149,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
     met = met.filter("n = size").groupBy("key", "hash", "kind").agg(F.count_distinct("clause").alias("met"))
     candidates = met.join(F.broadcast(clauses), "kind").filter("met = clauses").groupBy("key", "hash").agg(F.collect_set("kind").alias("kinds"))
     same = F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h"))
-    hits = candidates.withColumnsRenamed({"key": "k", "hash": "h"})
-    checked = rows.join(hits, same)
+    hits = settle(candidates.withColumnsRenamed({"key": "k", "hash": "h"}), "candidates")
+    # candidates go to the texts while they are few; beyond, texts and candidates are shuffled
+    small = hits.count() <= BROADCAST_CANDIDATES
+    checked = rows.join(F.broadcast(hits) if small else hits, same)
     each = [F.when(F.array_contains("kinds", r.kind), _spans(F.col("text"), r, i)).otherwise(F.array()) for i, r in enumerate(rules) if queries[r.kind]]
     verified = checked.select("k", "h", F.concat(*each).alias("more")).filter(F.size("more") > 0).dropDuplicates(["k", "h"])
     out = first.join(verified, same, "left")
