@@ -1,8 +1,10 @@
 """Toxicity scores from a weighted lexicon that an Aho-Corasick automaton finds in folded text.
 
-Folding: lower case, look-alike letters of other scripts and digits that stand for letters become Latin letters, everything
+Folding: compatibility forms (full-width, mathematical) become plain letters, marks and invisible format characters go, lower case,
+look-alike letters of other scripts and digits and signs that stand for letters become Latin letters, everything
 else that isn't a letter becomes a space. The lexicon's entries are whole words and word beginnings; their weights are
-log-odds from labelled texts. Within a word the heaviest entry counts, unless an exception phrase covers it. The sum is
+log-odds from labelled texts. Within a word the heaviest entry counts, unless an exception phrase covers it: two words, one of which has an
+entry, that the labelled texts show to be harmless together. The sum is
 normalised by the logarithm of the text's words and mapped to 0 to 1 by a logistic curve fitted to the same labels.
 
 Learning uses at most ``PER_LABEL`` labelled texts of each label, chosen by a hash of the key; scoring reads every text whole.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from functools import lru_cache
 
@@ -27,33 +30,40 @@ from pyspark.sql import types as T
 
 #: Labelled texts of each label that the lexicon is learned from.
 PER_LABEL = 4_000
-#: Entries of the lexicon, the best ones.
-MOST_ENTRIES = 5_000
-#: Least support in toxic texts, and least lower bound of the log-odds.
-LEAST_TEXTS, LEAST_ODDS = 4, 1.0
+#: Least support in toxic texts, and least lower bound of the log-odds: an entry is twenty times as likely in a toxic text.
+LEAST_TEXTS, LEAST_ODDS = 4, 3.0
+#: Highest upper bound of the log-odds of an exception phrase.
+SAFE_ODDS = -0.5
 #: Lengths of word beginnings that may be entries.
 BEGINNINGS = range(3, 9)
 
-# Look-alike letters, digit substitutions, and phrases in which an entry is harmless.
-HOMOGLYPHS = dict(zip("аеорсухкмтвнігѕјɑοαεικντυχρ", "aeopcyxkmtbhirsjaoaeikvtuxp"))
+# Look-alike letters by the Latin letter that they look like, and digits and signs that stand for letters.
+HOMOGLYPHS = {
+    "a": "аɑαⲁ", "b": "ьвƅβ", "c": "сϲⅽ", "d": "ԁɗժ", "e": "еєεҽ", "f": "ƒք", "g": "ɡցġ", "h": "һнհ", "i": "іıιɩӏ", "j": "јϳյ", "k": "кκ",
+    "l": "ⅼɫ", "m": "мⅿ", "n": "пηոո", "o": "оοσօ", "p": "рρϱ", "q": "ԛգզ", "r": "гɾᴦ", "s": "ѕꜱʂ", "t": "тτƭ", "u": "υʋսц", "v": "ѵνᴠ", "w": "ԝωա",
+    "x": "хχ", "y": "уүγʏ", "z": "ᴢʐ",
+}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "trash bag", "idiot proof", "pond scum", "sore loser rule")
+SIGNS = {"@": "a", "$": "s"}
 
-_SIGNS = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
+_SIGNS = re.compile(r"(?<=[^\W\d_])[@$]+|[@$]+(?=[^\W\d_])")
 
 
 @lru_cache(maxsize=1)
-def _table() -> dict[int, str]:
-    table = {c: " " for c in range(0x3100) if not chr(c).isalpha()}
-    table |= {ord(a): b for a, b in HOMOGLYPHS.items()}
+def _table() -> dict[int, str | None]:
+    table: dict[int, str | None] = {c: " " for c in range(0x3100) if not chr(c).isalpha()}
+    table |= {c: None for c in (*range(0x3100), 0xFEFF, *range(0xFE00, 0xFE10)) if unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")}
+    table |= {ord(c): a for a, alike in HOMOGLYPHS.items() for c in alike}
     table |= {ord(a): b for a, b in DIGITS.items()}
     return table
 
 
 def fold(text: str) -> str:
     """Folded words between single or more spaces, with a space at both ends."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text)
     if "@" in text or "$" in text:
-        text = _SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
+        text = _SIGNS.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
     return f" {text.lower().translate(_table())} "
 
 
@@ -81,6 +91,8 @@ class Scorer:
 
     def __call__(self, text: str) -> tuple[float, int]:
         """Normalised weight and number of matched words."""
+        if not len(self.automaton):  # nothing was learned
+            return 0.0, 0
         folded = fold(text)
         best: dict[int, float] = {}
         safe = []
@@ -145,11 +157,32 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[int, int]]:
         return {}, texts
     odds = F.log((F.col("t") + 0.5) / (texts[1] + 1)) - F.log((F.col("n") + 0.5) / (texts[0] + 1))
     rated = supported.filter(F.col("entry") != "").withColumn("w", odds).withColumn("low", F.col("w") - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5)))
-    best = rated.filter(F.col("low") >= LEAST_ODDS).orderBy(F.desc("low"), "entry").limit(MOST_ENTRIES).collect()
+    best = rated.filter(F.col("low") >= LEAST_ODDS).collect()  # of the chosen texts, so bounded by PER_LABEL
     supported.unpersist()
     return {r.entry: round(r.w, 4) for r in best}, texts
 
 
+def learn_exceptions(train: DataFrame, weights: dict[str, float], texts: dict[int, int]) -> tuple[str, ...]:
+    """Two words, one of which has an entry, that hold in texts that aren't toxic and hardly in others."""
+
+    def count(batches):
+        of: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                words = fold(text or "").split()
+                listed = [f" {w} " in weights or any(" " + w[:k] in weights for k in BEGINNINGS) for w in words]
+                of[toxic].update({f"{a} {b}" for a, b, x, y in zip(words, words[1:], listed, listed[1:]) if x or y})
+        yield _counted(of)
+
+    counts = train.mapInArrow(count, "entry string, toxic int, n long")
+    each = counts.groupBy("entry").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n")
+    )
+    odds = F.log((F.col("t") + 0.5) / (texts[1] + 1)) - F.log((F.col("n") + 0.5) / (texts[0] + 1))
+    high = odds + 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
+    return tuple(sorted(r.entry for r in each.filter((F.col("n") >= LEAST_TEXTS) & (high <= SAFE_ODDS)).collect()))
+
+
 _COUNTS = pa.schema([("entry", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
 
 
@@ -159,7 +192,7 @@ def _counted(of: dict[int, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(entry, pa.string()), pa.array(toxic, pa.int32()), pa.array(n, pa.int64())], schema=_COUNTS)
 
 
-def weigh(docs: DataFrame, weights: dict[str, float], text: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
+def weigh(docs: DataFrame, weights: dict[str, float], text: str = "text", exceptions: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``weight`` (normalised) and ``n_hits``."""
     fixed = tuple(sorted(weights.items()))
     kind = T.StructType([T.StructField("weight", T.DoubleType()), T.StructField("n_hits", T.LongType())])
@@ -191,8 +224,9 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """One row per row of ``docs``: key, ``held_out``, ``score``, ``predicted`` and ``n_hits``."""
     train = training(docs, labels, key, text, label).cache()
     weights, texts = learn_lexicon(train)
+    safe = learn_exceptions(train, weights, texts) if weights else ()
     if weights:
-        binned = weigh(train, weights).groupBy(F.round("weight", 2).alias("x"), "toxic").agg(F.count("*").alias("n"))
+        binned = weigh(train, weights, exceptions=safe).groupBy(F.round("weight", 2).alias("x"), "toxic").agg(F.count("*").alias("n"))
         # the sample is balanced by label, the curve need not be: its threshold is where the labels are as likely in it
         slope, base = fit_curve([(r.x, r.toxic, float(r.n)) for r in binned.collect()])
     else:
@@ -200,6 +234,6 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         slope, base = 0.0, math.log(max(share, 1e-9) / max(1 - share, 1e-9))
     train.unpersist()
     slim = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    rated = weigh(slim, weights, "_text")
+    rated = weigh(slim, weights, "_text", safe)
     value = 1 / (1 + F.exp(-(F.col("weight") * slope + base)))
     return rated.select(key, held_out(key).alias("held_out"), value.alias("score"), (value >= 0.5).cast("int").alias("predicted"), "n_hits")

@@ -7,6 +7,9 @@ from quern.llm.queries import op5_toxicity
 def test_folding():
     assert toxicity.fold("Тr4sh, 1d10t!") .split() == ["trash", "idiot"]
     assert toxicity.fold("st@pl$x").split() == ["staplsx"]
+    for odd in ("ｔｒａｓｈ", "𝐭𝐫𝐚𝐬𝐡", "tràsh", "tra\u200bsh", "tr4$h", "TRA\u00adSH", "тrаѕһ"):
+        assert toxicity.fold(odd).split() == ["trash"], odd
+    assert toxicity.fold("$ink a$$ 100$ $5").split()[:2] == ["sink", "ass"]
 
 
 def test_exceptions_and_length():
@@ -30,3 +33,15 @@ def test_edges(spark):
         rows = toxicity.score(docs, known).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_learned_exceptions(spark):
+    """An entry that is harmless before a certain word doesn't count there."""
+    toxic = [(f"you vile clown {i} go away now", 1) for i in range(60)]
+    fine = [(f"a clown fish swims {i} here", 0) for i in range(60)] + [(f"plain words {i} there", 0) for i in range(600)]
+    train = spark.createDataFrame(toxic + fine, "text string, toxic int")
+    weights, texts = toxicity.learn_lexicon(train)
+    safe = toxicity.learn_exceptions(train, weights, texts)
+    assert " clown " in weights and "clown fish" in safe and "vile clown" not in safe
+    s = toxicity.Scorer(weights, safe)
+    assert s("the clown fish")[0] == 0 < s("the clown")[0]
