@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 PER_LABEL = 4_000
 #: Least support in toxic texts, and least lower bound of the log-odds: an entry is twenty times as likely in a toxic text.
 LEAST_TEXTS, LEAST_ODDS = 4, 3.0
-#: Highest upper bound of the log-odds of an exception phrase.
+#: Highest log-odds of an exception phrase.
 SAFE_ODDS = -0.5
 #: Lengths of word beginnings that may be entries.
 BEGINNINGS = range(3, 9)
@@ -179,8 +179,7 @@ def learn_exceptions(train: DataFrame, weights: dict[str, float], texts: dict[in
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n")
     )
     odds = F.log((F.col("t") + 0.5) / (texts[1] + 1)) - F.log((F.col("n") + 0.5) / (texts[0] + 1))
-    high = odds + 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("n") + 0.5))
-    return tuple(sorted(r.entry for r in each.filter((F.col("n") >= LEAST_TEXTS) & (high <= SAFE_ODDS)).collect()))
+    return tuple(sorted(r.entry for r in each.filter((F.col("n") >= LEAST_TEXTS) & (odds <= SAFE_ODDS)).collect()))
 
 
 _COUNTS = pa.schema([("entry", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])

@@ -38,7 +38,7 @@ def test_edges(spark):
 def test_learned_exceptions(spark):
     """An entry that is harmless before a certain word doesn't count there."""
     toxic = [(f"you vile clown {i} go away now", 1) for i in range(60)]
-    fine = [(f"a clown fish swims {i} here", 0) for i in range(60)] + [(f"plain words {i} there", 0) for i in range(600)]
+    fine = [(f"a clown fish swims {i} here", 0) for i in range(20)] + [(f"plain words {i} there", 0) for i in range(1000)]
     train = spark.createDataFrame(toxic + fine, "text string, toxic int")
     weights, texts = toxicity.learn_lexicon(train)
     safe = toxicity.learn_exceptions(train, weights, texts)
