@@ -24,7 +24,8 @@ def quality_rules() -> str:
     vector = ", ".join(f"{v} as {k}" for k, v in quality.VECTOR.items())
     xs = ", ".join(quality.VECTOR)
     pairs = [(i, j) for i in range(1, 5) for j in range(1, i + 1)]
-    flat = ", ".join(f"cast({quality.FLOORS[i - 1] if i == j else 0} as double) as l{i}{j}" for i, j in pairs)
+    flat, signs, sign_moments = (", ".join(x) for x in (quality.FLAT, quality.SIGNS, quality.SIGN_MOMENTS))
+    columns = ", ".join(["unit", "start", *[f"m{i}" for i in range(1, 5)], *[f"l{i}{j}" for i, j in pairs]])
     medians = ", ".join(f"quantile_disc(x{i}, 0.5) as m{i}" for i in range(1, 5))
     moments, cholesky, distance = (", ".join(x) for x in (quality.MOMENTS, quality.CHOLESKY, quality.DISTANCE))
     parts = [
@@ -40,13 +41,18 @@ def quality_rules() -> str:
         f"un as (select sz.lang, sz.source, case when n >= {quality.MIN_GROUP} then sz.lang || '/' || sz.source when pooled >= {quality.MIN_GROUP} then sz.lang else 'pool' end as unit from sz left join pl using (lang))",
         "ro as (select v.*, unit from v left join un using (lang, source))",
         f"go as (select unit, {xs} from ro where not base_failed)",
-        f"e0 as (select unit, {medians}, {flat} from go group by unit)",
+        f"md as (select unit, {medians} from go group by unit)",
+        f"sg as (select unit, {', '.join(f'm{i}' for i in range(1, 5))}, {signs} from (select *, {quality.NORM} as norm from go join md using (unit)))",
+        f"e0 as (select {columns} from (select *, 0 as start, {flat} from md) union all select {columns} from (select *, 1 as start, {cholesky} from (select unit, {moments} from go group by unit))"
+        f" union all select {columns} from (select *, 2 as start, {cholesky} from (select unit, {sign_moments} from sg group by unit)))",
     ]
     for k in range(quality.STEPS):
         parts += [
-            f"b{k} as (select *, {quality.BIN} as bin from (select go.*, {distance} from go join e{k} using (unit)))",
-            f"c{k} as (select unit, min(bin) as last from (select unit, bin, sum(n) over (partition by unit order by bin) as upto, sum(n) over (partition by unit) as total from (select unit, bin, count(*) as n from b{k} group by 1, 2)) where upto >= {quality.SHARE} * total group by 1)",
-            f"e{k + 1} as (select *, {cholesky} from (select unit, {moments} from b{k} join c{k} using (unit) where bin <= last group by unit))",
+            f"b{k} as (select *, {quality.BIN} as bin from (select e{k}.start, go.*, {distance} from go join e{k} using (unit)))",
+            f"c{k} as (select unit, start, min(bin) as last from (select unit, start, bin, sum(n) over (partition by unit, start order by bin) as upto, sum(n) over (partition by unit, start) as total"
+            f" from (select unit, start, bin, count(*) as n from b{k} group by 1, 2, 3)) where upto >= {quality.SHARE} * total group by 1, 2)",
+            f"e{k + 1} as (select *, {cholesky} from (select unit, start, {moments} from b{k} join c{k} using (unit, start) where bin <= last group by unit, start))",
         ]
-    final = f"select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2 <= {quality.CUT}, true) as kept from (select ro.*, {distance} from ro left join e{quality.STEPS} using (unit))"
+    parts.append(f"es as (select * from e{quality.STEPS} qualify row_number() over (partition by unit order by {quality.DETERMINANT}, start) = 1)")
+    final = f"select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(d2 <= {quality.CUT}, true) as kept from (select ro.*, {distance} from ro left join es using (unit))"
     return "with " + ",\n".join(parts) + "\n" + final
