@@ -8,12 +8,15 @@ of the original. Draws are checked: one that equals an entity of the corpus, an
 drawn again (of equal draws the least entity keeps it), until all are distinct. Mentions are then rewritten in place,
 with the separators and the letter case of the original.
 
-Defined cases: null texts stay null, empty ones empty; repeated rows have equal results; a null key is a key like another; an
+Draws are keyed by HMAC. Private addresses stay private, others go to a reserved block; card numbers with a valid check digit get one.
+
+Defined cases: very long texts, words and addresses are read whole; null texts stay null, empty ones empty; repeated rows have equal results; a null key is a key like another; an
 empty table gives no rows; all other columns are left alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import or_
 
@@ -34,14 +37,16 @@ SYLLABLES = {
 ENDINGS = {"latin": ("na", "n"), "cyrillic": ("на", "н"), "greek": ("να", "ν")}
 
 _WORD = r"[\p{L}\p{N}]"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}])(?!\.\d)"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!" + _WORD + r")|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!" + _WORD + r")|(?<![\p{L}\p{N}+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!" + _WORD + ")"
 CARD = r"(?<![\p{L}\p{N}+])\d(?:[ -]?\d){12,18}(?!" + _WORD + ")"
-_TITLE = r"(?:" + "|".join((*TITLES_F, *TITLES_M)) + r")\.?[ \t]+(?:(?:Dr|Prof)\.?[ \t]+)*"
+_TITLE = r"(?:" + "|".join((*TITLES_F, *TITLES_M)) + r")\.?[ \t]+(?:(?:Dr|Prof)\.?[ \t]+)*+"
 #: A word of a name: a possessive ending isn't part of it.
-NAME_WORD = r"\p{Lu}(?:[\p{L}-]|'(?=\p{L})(?!s(?!\p{L})))+"
+NAME_WORD = r"\p{Lu}(?:[\p{L}-]++|'(?=\p{L})(?!s(?!\p{L})))++"
 NAME = r"(?<!" + _WORD + ")" + _TITLE + NAME_WORD + r"(?:[ \t]" + NAME_WORD + ")?"
+#: Addresses of private networks.
+PRIVATE = r"^(?:10\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)"
 #: A calling code with a trunk zero, before seven digits at least.
 CALLING = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})0?(?=\d{7})"
 ANY = f"(?:{EMAIL})|(?:{IPV4})|(?:{PHONE})|(?:{CARD})|(?:{NAME})"
@@ -120,19 +125,55 @@ def mentions_of(text: Column) -> Column:
     return let(parts, lambda p: F.filter(p, lambda x, i: i % 2 == 1))
 
 
+def _keyed(message: Column, key: str) -> Column:
+    """HMAC with SHA-256, in hexadecimal digits."""
+    secret = key.encode()
+    secret = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in secret)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def check_sum(digits: Column) -> Column:
+    """Sum of the digits by the rule of card numbers, which is a multiple of ten for valid ones."""
+    size = F.length(digits)
+
+    def one(c: Column, i: Column) -> Column:
+        d = c.cast("int") * F.when((size - i) % 2 == 0, 2).otherwise(1)
+        return d - F.when(d > 9, 9).otherwise(0)
+
+    return F.aggregate(F.transform(F.split(digits, ""), one), F.lit(0), lambda a, x: a + x)
+
+
+def _address(h: Column, value: Column, attempt: int) -> Column:
+    """Private addresses stay in their block, after many attempts in any private one; others go to the reserved block 240 to 255."""
+    octet = lambda a: F.conv(F.substring(h, a, 2), 16, 10)
+    reserved = F.concat_ws(".", (F.conv(F.substring(h, 1, 1), 16, 10).cast("int") + 240).cast("string"), octet(5), octet(7), octet(9))
+    ten = F.concat_ws(".", F.lit("10"), octet(5), octet(7), octet(9))
+    if attempt >= 40:
+        return reserved
+    if attempt >= 20:
+        return F.when(value.rlike(PRIVATE), ten).otherwise(reserved)
+    middle = F.concat_ws(".", F.lit("172"), (F.conv(F.substring(h, 1, 1), 16, 10).cast("int") + 16).cast("string"), octet(7), octet(9))
+    small = F.concat_ws(".", F.lit("192"), F.lit("168"), octet(7), octet(9))
+    return F.when(value.rlike(r"^10\."), ten).when(value.rlike(r"^192\."), F.when(value.rlike(PRIVATE), small).otherwise(reserved)).when(value.rlike(PRIVATE), middle).otherwise(reserved)
+
+
 def draw(entity: Column, key: str, attempt: int) -> Column:
-    """A surrogate for a normal form: digits for numbers, the value itself for the others."""
+    """A surrogate for a normal form: digits for numbers, the value itself for the others. What can be drawn widens with the attempts."""
     kind, value = F.substring_index(entity, ":", 1), F.substring(entity, F.instr(entity, ":") + 1, F.length(entity))
-    h = F.sha2(F.concat_ws("|", F.lit(key), entity, F.lit(str(attempt))).cast("binary"), 256)
+    h = _keyed(F.concat_ws("|", entity, F.lit(str(attempt))), key)
     letters = lambda a, n: F.translate(F.substring(h, a, n), "0123456789", "ghijklmnop")
     numbers = F.translate(h, "abcdef", "012345")
     local = F.regexp_extract(value, "^([^@]+)@", 1)
     email = F.concat(letters(1, 9), F.when(local.rlike(r"\d"), F.concat(F.lit("."), F.substring(numbers, 20, 2))).otherwise(""), F.lit("@"), letters(30, 7), F.lit(".example.net"))
-    octet = lambda a: F.conv(F.substring(h, a, 2), 16, 10)
-    ip = F.concat_ws(".", (F.conv(F.substring(h, 1, 4), 16, 10).cast("int") % 223 + 1).cast("string"), octet(5), octet(7), octet(9))
+    ip = _address(h, value, attempt)
     # numbers keep their first digit, and longer ones than the hash go round
-    first = F.concat(F.substring(value, 1, 1), F.substring(F.concat(numbers, numbers), 2, 100))
-    number = F.substring(first, F.lit(1), F.length(value))
+    first = F.concat(F.substring(value, 1, 1) if attempt < 20 else F.lit("").cast("string"), F.substring(F.concat(numbers, numbers), 2, 100))
+    plain = F.substring(first, F.lit(1), F.length(value) + max(0, attempt // 20 - 1))
+    # a valid card number gets a valid one
+    body = F.substring(plain, F.lit(1), F.length(plain) - 1)
+    valid = F.concat(body, ((10 - check_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
+    number = F.when((kind == "card") & (check_sum(value) % 10 == 0), valid).otherwise(plain)
 
     def name(script: str) -> Column:
         table = F.array(*map(F.lit, SYLLABLES[script]))

@@ -1,6 +1,7 @@
 import re
 
 from quern.llm import pii
+from quern.llm.queries import op3_surrogates
 
 ROWS = [
     (1, "Mail Anna.34@mail7.example.com or ANNA.34@MAIL7.EXAMPLE.COM; call +1 (017) 555-7713!"),
@@ -67,3 +68,47 @@ def test_partial_names(spark):
     assert got[2] == "Anna Schmidt has no title here"
     assert got[3] == "call +1 " + got[4][5:] and "555-7713" not in got[3]
     assert {r.doc_id: r.n for r in rows} == {1: 7, 2: 0, 3: 1, 4: 1}
+
+
+def test_long_mentions(spark):
+    """Addresses, names and titles of a megabyte."""
+    texts = ["x@a" + ".a" * 500_000 + ".com", "Mr " + "A" * 1_000_000, "Mr " + "Dr. " * 200_000 + "Smith", "Mr A" + "'b" * 400_000, "a." * 500_000 + "@", "1" * 1_000_000, "+1" + " 22" * 300_000]
+    got = {r.doc_id: r.text for r in run(spark, list(enumerate(texts)))}
+    assert len(got) == len(texts) and got[0] != texts[0] and got[1] != texts[1] and not got[2].endswith("Smith") and got[5] == texts[5]
+
+
+def test_types(spark):
+    """Private addresses stay private, card numbers valid."""
+    rows = run(spark, [(1, "10.0.0.5 and 192.168.1.9 and 172.20.0.1 but 8.8.4.4; card 4111 1111 1111 1111, not 4111 1111 1111 1112")])
+    m = re.fullmatch(r"10(?:\.\d+){3} and 192\.168(?:\.\d+){2} and 172\.(\d+)(?:\.\d+){2} but (\d+)(?:\.\d+){3}; card (\d{4} \d{4} \d{4} \d{4}), not (\d{4} \d{4} \d{4} \d{4})", rows[0].text)
+    assert m and 16 <= int(m[1]) < 32 and int(m[2]) >= 240
+    total = lambda x: sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(x.replace(" ", "")))
+    assert total(m[3]) % 10 == 0 and m[3] != "4111 1111 1111 1111"
+    import hashlib
+    import hmac
+
+    got = spark.range(1).select(pii._keyed(pii.F.lit("entity|0"), "k" * 70).alias("h")).first().h
+    assert got == hmac.new(b"k" * 70, b"entity|0", hashlib.sha256).hexdigest()
+
+
+def test_exhausted_space(spark):
+    """All two-digit numbers of a kind: draws widen until there is a free one for each."""
+    entities = spark.createDataFrame([(f"phone:{i}",) for i in range(10, 20)], "entity string")
+    got = pii.surrogates(entities, "k").collect()
+    assert len(got) == 10 == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & {str(i) for i in range(10, 20)}
+
+
+def test_query_leaves_nothing(spark, sf):
+    """Every address and number of the corpus has one surrogate of its own, and none is left."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+|\b\d{16}\b|\+\d{1,3} \(\d{3}\) \d{3}-\d{4}"
+    new = {r.doc_id: r.text for r in op3_surrogates(spark, sf).collect()}
+    pairs = set()
+    for d in docs.collect():
+        before, after = re.findall(found, d.text), re.findall(found, new[d.doc_id])
+        assert len(before) == len(after)
+        pairs |= {(a.lower(), b.lower()) for a, b in zip(before, after)}
+        if not before and not re.search(r"[@\d]|M[rs]|Frau|Herr|Se|Sr|Mme|Mon|Mad|Miss", d.text):
+            assert new[d.doc_id] == d.text
+    assert len(pairs) > 5 and len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+    assert not {a for a, _ in pairs} & {b for _, b in pairs}
