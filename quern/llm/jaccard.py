@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
-from quern.session import settle
+from quern.session import discard, settle
 
 #: Ratio of the sizes at the two ends of a size class.
 CLASS_RATIO = 1.5
@@ -214,12 +214,14 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 BROADCAST_ENTRIES = 1_000_000
 
 
-def _entries(docs: DataFrame, made: DataFrame, sets: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """``id, n, common`` of the sets that share enough with others to be linked: their tokens that others have too, the rarest first."""
-    held = made.select("half", F.explode("tokens").alias("token"))
+def _entries(docs: DataFrame, tokens: DataFrame, sets: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """``id, n, common`` of the sets that share enough with others to be linked: their tokens that others have too, the rarest first. ``tokens`` is
+    deleted when it has been read."""
+    held = tokens.select("half", F.explode("tokens").alias("token"))
     # what only one set holds can't be shared
     shared = held.groupBy("token").agg(F.min("half").alias("low"), F.max("half").alias("high")).filter("low < high").select("token")
     meeting = settle(held.join(shared, "token").select("half").distinct(), "meeting")
+    discard(tokens)
     able = settle(sets.join(meeting, "half", "left_semi").select("id", "n", F.col("own").alias("_own"), F.col("hash").alias("_hash")), "able")
     small = able.count() <= BROADCAST_ENTRIES
     same = F.col("own").eqNullSafe(F.col("_own")) & (F.col("hash") == F.col("_hash"))
@@ -236,7 +238,9 @@ def _entries(docs: DataFrame, made: DataFrame, sets: DataFrame, key: str, text:
     listed = each.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("common"))  # of one text
     found = able.select("id", "n").join(listed, "id").select("id", "n", F.col("common.token").alias("common"))
     # tokens of one entry differ in every comparison; with too many of them no link is possible
-    return settle(found.filter(den * F.size("common") >= num * F.col("n")), "entries")
+    found = settle(found.filter(den * F.size("common") >= num * F.col("n")), "entries")
+    discard(whole)
+    return found
 
 
 def _verified(pairs: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
@@ -292,11 +296,12 @@ def _candidates(entries: DataFrame, firsts: DataFrame, labels: DataFrame, num: i
 
 def _classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
     """``own, hash, n`` of every row and the ``label`` of its component, null for an empty set."""
-    made = settle(prepare(docs, key, text, width, num, den), "sets")
+    tokens = settle(prepare(docs, key, text, width, num, den), "tokens")
+    made = settle(tokens.drop("half", "tokens"), "rows")
     first = F.min(F.struct("own", "hash")).alias("first")
-    sets = made.filter("sig is not null").groupBy("sig").agg(first, F.min("n").alias("n"), F.min("half").alias("half"))
+    sets = tokens.filter("sig is not null").groupBy("sig").agg(first, F.min("n").alias("n"), F.min("half").alias("half"))
     sets = settle(sets.select("sig", "n", "half", "first.own", "first.hash", F.monotonically_increasing_id().alias("id")), "distinct_sets")
-    entries = _entries(docs, made, sets, key, text, width, num, den)
+    entries = _entries(docs, tokens, sets, key, text, width, num, den)
     private = F.col("n") - F.size("common")
     slack = F.col("n") + 1 - F.ceil(num * F.col("n") / den).cast("long") - private
     firsts = entries.select("id", private.alias("private"), F.size("common").alias("common"), F.explode(F.slice("common", F.lit(1), slack.cast("int"))).alias("token"))
