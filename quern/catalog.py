@@ -267,11 +267,13 @@ def _order_graphs(spark, d):
     return facts.join(marks, "s").withColumn("g", F.when(F.col("level") < "3", "early")).drop("level")
 
 
-@query("select 'union' as op, count(*) as n from (select distinct o_orderkey from orders) cross join (select unnest([1,2,3])) union all select 'intersection', 0 union all select 'difference', 3 * count(*) from orders where o_orderpriority < '3'")
+@query("""select op, 3 * count(*) as n from (select unnest(list_filter([case when o_orderpriority < '3' or o_orderstatus = 'F' then 'union' end, case when o_orderpriority < '3' and o_orderstatus = 'F' then 'intersection' end,
+ case when o_orderpriority < '3' and o_orderstatus <> 'F' then 'difference' end], lambda x: x is not null)) as op from orders) group by 1""")
 def graph_sets(spark, d):
-    """Union, intersection and difference of the named and the default graph."""
+    """Union, intersection and difference of two named graphs that share facts."""
     facts = _order_graphs(spark, d)
-    a, b = graphs.graph(facts, "early"), graphs.graph(facts, None)
+    done = facts.filter("p = 'o_orderstatus' and o = 'F'").select("s")
+    a, b = graphs.graph(facts, "early"), facts.join(done, "s", "left_semi").select("s", "p", "o")
     parts = [("union", graphs.union(a, b)), ("intersection", graphs.intersection(a, b)), ("difference", graphs.difference(a, b))]
     out = None
     for name, df in parts:
@@ -398,10 +400,12 @@ def incremental_spenders(spark, d):
     return spark.read.parquet(f"{out}/found").select("c", "o")
 
 
-@query("""select s, p, o from (select 'customer/' || c_custkey as s, unnest([('c_name', c_name), ('c_mktsegment', c_mktsegment)]) as x from customer), lateral (select x[1] as p, x[2] as o)""")
+@query("""select s, p, o from (select 'customer/' || c_custkey as s, unnest([('c_name', c_name), ('c_mktsegment', c_mktsegment)]) as x from customer union all select 'documents/' || doc_id, ('text', text) from documents), lateral (select x[1] as p, x[2] as o)""")
 def ntriples_round_trip(spark, d):
-    """A table written as N-Triples and read back."""
-    facts = triples(spark, d, "customer", ["c_name", "c_mktsegment"])
+    """Two tables, one of long texts, written as N-Triples and read back."""
+    facts = triples(spark, d, "customer", ["c_name", "c_mktsegment"]).select("s", "p", "o")
+    docs = relation(spark, d, "documents", k="doc_id", o="text").select(F.concat(F.lit("documents/"), F.col("k")).alias("s"), F.lit("text").alias("p"), "o")
+    facts = facts.unionByName(docs)
     path = new_path(spark, "triples")
     ntriples.write(facts.select(ntriples.iri(F.col("s")).alias("s"), ntriples.iri(F.col("p")).alias("p"), ntriples.literal(F.col("o")).alias("o")), path)
     strip = lambda c: F.regexp_replace(c, "^<|>$", "")
@@ -478,15 +482,108 @@ def retracted_suppliers(spark, d):
     return graphs.retract(facts, bodies.includes(facts, bad)).select("s", "o")
 
 
-@query("""select o_orderkey as o, (date_diff('month', o_orderdate, timestamp '2024-06-30 00:00:00') - case when day(o_orderdate) > 30 or (day(o_orderdate) = 30 and o_orderdate::time > time '00:00:00') then 1 else 0 end) // 12 as years from orders where day(o_orderdate) < 29""")
+@query("""select o_orderkey as o, (2024 - year(o_orderdate) - case when month(o_orderdate) > 6 or (month(o_orderdate) = 6 and day(o_orderdate) > 29) then 1 else 0 end)::int as years from orders""")
 def completed_years(spark, d):
     """Date difference in whole years."""
-    orders = relation(spark, d, "orders", o="o_orderkey", t="o_orderdate").filter(F.dayofmonth("t") < 29)
-    return bind(orders, "years", "time:completedYears", F.lit("2024-06-30").cast("timestamp"), "t").select("o", "years")
+    orders = relation(spark, d, "orders", o="o_orderkey", t="o_orderdate")
+    return bind(orders, "years", "time:completedYears", F.lit("2024-06-29").cast("timestamp"), "t").select("o", "years")
 
 
-@query("""with l as (select l_orderkey as o, list(distinct l_suppkey) as x from lineitem group by 1), m as (select o, x, unnest(x) as item from l where len(x) between 2 and 4) select o, item, list_sort(list_filter(x, lambda y: y <> item)) as others from m""")
+@query("""with l as (select l_orderkey as o, list(distinct l_suppkey) as x from lineitem group by 1), m as (select o, x, unnest(x) as item from l) select o, item, list_sort(list_filter(x, lambda y: y <> item)) as others from m""")
 def list_selections(spark, d):
     """A generator of an item and the list without it."""
-    lists = relation(spark, d, "lineitem", o="l_orderkey", s="l_suppkey").groupBy("o").agg(F.array_sort(F.collect_set("s")).alias("x")).filter(F.size("x").between(2, 4))
+    lists = relation(spark, d, "lineitem", o="l_orderkey", s="l_suppkey").groupBy("o").agg(F.array_sort(F.collect_set("s")).alias("x"))
     return lists.select("o", F.explode(call("list:select", "x")).alias("e")).select("o", "e.item", F.col("e.rest").alias("others"))
+
+
+@query("""select c_custkey as c, c_acctbal = c_nationkey as eq, c_acctbal <> c_nationkey as ne, c_acctbal < c_nationkey as lt, c_acctbal > c_nationkey as gt, c_acctbal >= c_nationkey as ge, c_acctbal <= c_nationkey as le, c_custkey + c_nationkey as total, c_custkey * c_nationkey as product,
+ c_custkey - c_nationkey as difference, case when c_nationkey <> 0 then c_custkey / c_nationkey::double end as quotient, round(power(c_nationkey, 1.5), 6) as power, -c_acctbal as negative, round_even(c_acctbal, 0) as rounded, round_even(c_acctbal, 1) as tenth,
+ round(cos(c_custkey), 9) as cosine, round(tan(c_custkey), 6) as tangent, round(sinh(c_nationkey / 10.0), 9) as sinh, round(cosh(c_nationkey / 10.0), 9) as cosh, round(tanh(c_nationkey / 10.0), 9) as tanh, round(atan(c_acctbal), 9) as atan, round(asinh(c_acctbal), 6) as asinh,
+ round(degrees(c_custkey), 6) as degrees, round(radians(c_custkey), 9) as radians, case when c_nationkey <= 10 then round(asin(c_nationkey / 10.0), 9) end as asin, case when c_nationkey <= 10 then round(acos(c_nationkey / 10.0), 9) end as acos,
+ case when c_nationkey >= 1 then round(acosh(c_nationkey), 9) end as acosh, case when c_nationkey < 10 then round(atanh(c_nationkey / 10.0), 9) end as atanh, round(atan2(c_acctbal, c_custkey), 9) as atan2, greatest(c_custkey, c_nationkey) as most, least(c_custkey, c_nationkey) as least_of,
+ round((c_acctbal + c_nationkey) / 2, 6) as mean, round(abs(c_acctbal - c_nationkey) / sqrt(2), 6) as deviation, case when c_nationkey between 1 and 24 then round(-(c_nationkey / 25.0 * log2(c_nationkey / 25.0) + (1 - c_nationkey / 25.0) * log2(1 - c_nationkey / 25.0)), 9) else 0.0 end as entropy from customer""")
+def math_functions(spark, d):
+    """The other ``math:`` builtins and the numeric ones of ``e:``."""
+    rows = relation(spark, d, "customer", c="c_custkey", b="c_acctbal", n="c_nationkey")
+    tenth, r = F.col("n") / 10.0, F.round
+    return rows.select(
+        "c",
+        *[call(f"math:{f}", "b", "n").alias(a) for a, f in {"eq": "equalTo", "ne": "notEqualTo", "lt": "lessThan", "gt": "greaterThan", "ge": "notLessThan", "le": "notGreaterThan"}.items()],
+        *[call(f"math:{f}", "c", "n").alias(a) for a, f in {"total": "sum", "product": "product", "difference": "difference", "quotient": "quotient", "most": "max", "least_of": "min"}.items()],
+        r(call("math:exponentiation", "n", 1.5), 6).alias("power"),
+        call("math:negation", "b").alias("negative"),
+        call("math:rounded", "b").alias("rounded"),
+        call("math:roundedTo", "b", 1).alias("tenth"),
+        r(call("math:cos", "c"), 9).alias("cosine"),
+        r(call("math:tan", "c"), 6).alias("tangent"),
+        *[r(call(f"math:{f}", tenth), 9).alias(f) for f in ("sinh", "cosh", "tanh", "asin", "acos", "atanh")],
+        r(call("math:atan", "b"), 9).alias("atan"),
+        r(call("math:asinh", "b"), 6).alias("asinh"),
+        r(call("math:acosh", "n"), 9).alias("acosh"),
+        r(call("math:degrees", "c"), 6).alias("degrees"),
+        r(call("math:radians", "c"), 9).alias("radians"),
+        r(call("math:atan2", "b", "c"), 9).alias("atan2"),
+        r(call("math:avg", "b", "n"), 6).alias("mean"),
+        r(call("math:std", "b", "n"), 6).alias("deviation"),
+        r(call("e:binaryEntropy", F.col("n") / 25.0), 9).alias("entropy"),
+    )
+
+
+@query("""select p_partkey as p, starts_with(p_name, 'Part') as starts, suffix(p_type, 'STEEL') as ends, p_brand = p_type as same, p_brand < p_type as lt, p_brand > p_type as gt, p_brand >= p_type as ge, p_brand <= p_type as le, lower(p_type) = lower(p_name) as same_fold, lower(p_type) <> lower(p_name) as other_fold,
+ contains(lower(p_type), 'steel') as has_fold, not regexp_matches(p_type, 'S') as lacks, regexp_replace(p_name, '[aeiou]', '*', 'g') as masked, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) as capital, substr(p_name, 2, 1) as letter, substr(p_name, 1, 1) || '_' || substr(p_name, 3) as changed,
+ array_to_string(regexp_extract_all(p_name, '[0-9]+'), ' ') as numbers, p_brand || '-' || p_type as joined, p_brand || ',' || p_size as csv, case when contains(p_type, ' ') then split_part(p_type, ' ', 1) else '' end as head, case when contains(p_type, ' ') then substr(p_type, strpos(p_type, ' ') + 1) else '' end as tail,
+ translate(p_type, 'AEIOU', 'aeiou') as vowels, trim(regexp_replace(p_type, '\\s+', ' ', 'g')) as spaced, string_split(p_type, ' ') as words, substr(p_name, 3) as from_three, replace(p_type, ' ', '+') as encoded, sha1(p_name) as sha, regexp_extract('http://x.org/a#' || p_brand, '([^#/]*)$', 1) as name_of,
+ regexp_extract('http://x.org/a#' || p_brand, '^(.*#)', 1) as space_of from part""")
+def string_functions(spark, d):
+    """The other ``string:``, ``func:``, ``pred:``, ``riff:`` builtins and those of ``log:`` and ``e:`` on text."""
+    rows, text = relation(spark, d, "part", p="p_partkey", name="p_name", brand="p_brand", kind="p_type", size="p_size"), F.lit
+    iri = F.concat(text("http://x.org/a#"), F.col("brand"))
+    return rows.select(
+        "p",
+        call("func:starts-with", "name", text("Part")).alias("starts"),
+        call("string:endsWith", "kind", text("STEEL")).alias("ends"),
+        *[call(f"string:{f}", "brand", "kind").alias(a) for a, f in {"same": "equal", "lt": "lessThan", "gt": "greaterThan", "ge": "notLessThan", "le": "notGreaterThan"}.items()],
+        call("string:equalIgnoringCase", "kind", "name").alias("same_fold"),
+        call("string:notEqualIgnoringCase", "kind", "name").alias("other_fold"),
+        call("string:containsIgnoringCase", "kind", text("Steel")).alias("has_fold"),
+        call("string:notMatches", "kind", text("S")).alias("lacks"),
+        call("string:replace", "name", text("[aeiou]"), text("*")).alias("masked"),
+        call("string:capitalize", "kind").alias("capital"),
+        call("string:charAt", "name", 1).alias("letter"),
+        call("string:setCharAt", "name", 1, text("_")).alias("changed"),
+        call("string:scrapeAll", "name", text("[0-9]+")).alias("numbers"),
+        call("string:join", text("-"), "brand", "kind").alias("joined"),
+        call("e:csvTuple", "brand", "size").alias("csv"),
+        call("riff:substring-before", "kind", text(" ")).alias("head"),
+        call("func:substring-after", "kind", text(" ")).alias("tail"),
+        call("func:translate", "kind", text("AEIOU"), text("aeiou")).alias("vowels"),
+        call("func:normalize-space", "kind").alias("spaced"),
+        call("func:tokenize", "kind", text(" ")).alias("words"),
+        call("func:substring", "name", 3).alias("from_three"),
+        call("e:wwwFormEncode", "kind").alias("encoded"),
+        call("crypto:sha", "name").alias("sha"),
+        call("log:localName", iri).alias("name_of"),
+        call("log:namespace", iri).alias("space_of"),
+    )
+
+
+@query("""with l as (select l_orderkey as o, list(l_partkey order by l_partkey) as x, list(l_suppkey order by l_suppkey) as y from lineitem group by 1) select o, x[2] as second, list_contains(x, 7) as has_seven, not list_contains(x, 7) as no_seven, list_concat(x, y) as both_lists,
+ case when len(x) > 1 then list_concat(x[:1], x[3:]) end as without_second, list_filter(x, lambda i: list_contains(y, i)) as shared, list_sort(list_distinct(x)) = list_sort(list_distinct(y)) as same_set, list_sort(x) = list_sort(y) as same_bag, len(x) as n, x[1] as head, x[2:] as tail from l""")
+def list_functions(spark, d):
+    """The other ``list:``, ``rdf:`` and ``riff:`` builtins on collected lists."""
+    lists = relation(spark, d, "lineitem", o="l_orderkey", p="l_partkey", s="l_suppkey").groupBy("o").agg(F.sort_array(F.collect_list("p")).alias("x"), F.sort_array(F.collect_list("s")).alias("y"))
+    seven = F.lit(7).cast("long")
+    return lists.select(
+        "o",
+        call("list:memberAt", "x", 1).alias("second"),
+        call("list:in", seven, "x").alias("has_seven"),
+        call("list:notMember", "x", seven).alias("no_seven"),
+        call("riff:concatenate", "x", "y").alias("both_lists"),
+        call("list:removeAt", "x", 1).alias("without_second"),
+        call("list:intersection", "x", "y").alias("shared"),
+        call("list:setEqualTo", "x", "y").alias("same_set"),
+        call("list:multisetEqualTo", "x", "y").alias("same_bag"),
+        call("math:memberCount", "x").cast("long").alias("n"),
+        call("list:firstRest", "x")["first"].alias("head"),
+        call("rdf:rest", "x").alias("tail"),
+    )

@@ -13,8 +13,8 @@ _D = "double"
 
 
 def finite(x: Column) -> Column:
-    """Null instead of NaN, for results outside a function's domain."""
-    return F.when(~F.isnan(x), x)
+    """Null instead of NaN and infinity, for results outside a function's domain."""
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
 for _name, _f in {"equalTo": lambda a, b: a.cast(_D) == b.cast(_D), "notEqualTo": lambda a, b: a.cast(_D) != b.cast(_D), "lessThan": lambda a, b: a < b, "greaterThan": lambda a, b: a > b, "notLessThan": lambda a, b: a >= b, "notGreaterThan": lambda a, b: a <= b}.items():

@@ -19,5 +19,6 @@ builtin("time:timeZone")(lambda text: F.coalesce(F.regexp_substr(text, F.lit(r"(
 
 @builtin("time:completedYears")
 def completed_years(later, earlier):
-    """Whole years between two dates, as date differences of rules count them."""
-    return F.floor(F.months_between(later, earlier) / 12)
+    """Whole years between two dates: the last one counts from its month and day on."""
+    early = (F.month(later) < F.month(earlier)) | ((F.month(later) == F.month(earlier)) & (F.dayofmonth(later) < F.dayofmonth(earlier)))
+    return F.year(later) - F.year(earlier) - early.cast("int")

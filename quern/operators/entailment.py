@@ -1,6 +1,6 @@
 """Schema entailment over ``s, p, o`` facts: RDFS and the practical part of OWL RL, as joins with the schema's small relations.
 
-Each rule is a function of facts; ``rdfs`` and ``owl`` run theirs to a fixpoint. Schema predicates are recognised by local
+Each rule is a function of facts, and of the facts that its other premise is taken from where those differ; ``rdfs`` and ``owl`` run theirs to a fixpoint. Schema predicates are recognised by local
 names without a namespace (``subClassOf``, ``domain`` ...); ``type`` states membership.
 """
 
@@ -15,6 +15,10 @@ from quern.operators.fixpoint import fixpoint
 COLUMNS = ["s", "p", "o"]
 
 
+def _or(other: DataFrame | None, facts: DataFrame) -> DataFrame:
+    return facts if other is None else other
+
+
 def having(facts: DataFrame, predicate: str, s: str, o: str) -> DataFrame:
     return facts.filter(F.col("p") == predicate).select(F.col("s").alias(s), F.col("o").alias(o))
 
@@ -23,47 +27,53 @@ def _typed(df: DataFrame, s: str, o: str) -> DataFrame:
     return df.select(F.col(s).alias("s"), F.lit("type").alias("p"), F.col(o).alias("o"))
 
 
-def subclass(facts: DataFrame) -> DataFrame:
-    return _typed(having(facts, "type", "x", "a").join(having(facts, "subClassOf", "a", "b"), "a"), "x", "b")
+def subclass(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    return _typed(having(facts, "type", "x", "a").join(having(_or(other, facts), "subClassOf", "a", "b"), "a"), "x", "b")
 
 
-def subproperty(facts: DataFrame) -> DataFrame:
-    return facts.join(having(facts, "subPropertyOf", "p", "q"), "p").select("s", F.col("q").alias("p"), "o")
+def subproperty(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    return facts.join(having(_or(other, facts), "subPropertyOf", "p", "q"), "p").select("s", F.col("q").alias("p"), "o")
 
 
-def domain(facts: DataFrame) -> DataFrame:
-    return _typed(facts.join(having(facts, "domain", "p", "d"), "p"), "s", "d")
+def domain(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    return _typed(facts.join(having(_or(other, facts), "domain", "p", "d"), "p"), "s", "d")
 
 
-def value_range(facts: DataFrame) -> DataFrame:
-    return _typed(facts.join(having(facts, "range", "p", "d"), "p"), "o", "d")
+def value_range(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    return _typed(facts.join(having(_or(other, facts), "range", "p", "d"), "p"), "o", "d")
 
 
-def _marked(facts: DataFrame, kind: str) -> DataFrame:
+def _marked(facts: DataFrame, kind: str, other: DataFrame | None = None) -> DataFrame:
     """Facts of the properties that have this type."""
-    return facts.join(having(facts, "type", "p", "k").filter(F.col("k") == kind).select("p"), "p").select(*COLUMNS)
+    return facts.join(having(_or(other, facts), "type", "p", "k").filter(F.col("k") == kind).select("p"), "p").select(*COLUMNS)
+
 
+def symmetric(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    return _marked(facts, "SymmetricProperty", other).select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
 
-def symmetric(facts: DataFrame) -> DataFrame:
-    return _marked(facts, "SymmetricProperty").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
 
+def transitive(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    def steps(first: DataFrame, second: DataFrame) -> DataFrame:
+        return first.select("s", "p", F.col("o").alias("m")).join(second.select(F.col("s").alias("m"), "p", "o"), ["p", "m"]).select(*COLUMNS)
 
-def transitive(facts: DataFrame) -> DataFrame:
-    own = _marked(facts, "TransitiveProperty")
-    return own.select("s", "p", F.col("o").alias("m")).join(own.select(F.col("s").alias("m"), "p", "o"), ["p", "m"]).select(*COLUMNS)
+    own = _marked(facts, "TransitiveProperty", other)
+    if other is None:
+        return steps(own, own)
+    every = _marked(facts.unionByName(other), "TransitiveProperty")
+    return steps(own, every).unionByName(steps(every, own))
 
 
-def inverse(facts: DataFrame) -> DataFrame:
-    return facts.join(having(facts, "inverseOf", "p", "q"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+def inverse(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    return facts.join(having(_or(other, facts), "inverseOf", "p", "q"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
 
 
-def equivalent_property(facts: DataFrame) -> DataFrame:
-    pairs = having(facts, "equivalentProperty", "p", "q")
+def equivalent_property(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
+    pairs = having(_or(other, facts), "equivalentProperty", "p", "q")
     both = pairs.unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q")))
     return facts.join(both, "p").select("s", F.col("q").alias("p"), "o")
 
 
-def equivalent_class(facts: DataFrame) -> DataFrame:
+def equivalent_class(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
     pairs = having(facts, "equivalentClass", "s", "o")
     both = pairs.unionByName(pairs.select(F.col("o").alias("s"), F.col("s").alias("o")))
     return both.select("s", F.lit("subClassOf").alias("p"), "o")
@@ -112,7 +122,7 @@ def all_different(members: DataFrame) -> DataFrame:
     return members.join(other, "list").filter(F.col("item") != F.col("o")).select(F.col("item").alias("s"), F.lit("differentFrom").alias("p"), "o")
 
 
-def different_symmetric(facts: DataFrame) -> DataFrame:
+def different_symmetric(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
     return having(facts, "differentFrom", "o", "s").select("s", F.lit("differentFrom").alias("p"), "o")
 
 
@@ -154,12 +164,12 @@ OWL = (symmetric, transitive, inverse, equivalent_property, equivalent_class, di
 
 def entail(facts: DataFrame, rules=RDFS, max_rounds: int = 100) -> DataFrame:
     """All facts that follow. The schema is part of the facts and meets every round's new facts; new facts that a rule needs two
-    of meet the known ones as well."""
+    of meet the known ones as well, so no round joins old facts with old ones."""
 
     def step(delta: DataFrame, known: DataFrame) -> DataFrame:
         out = None
         for rule in rules:
-            made = rule(known)
+            made = rule(delta, known).unionByName(rule(known, delta))
             out = made if out is None else out.unionByName(made)
         return out
 

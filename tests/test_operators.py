@@ -200,3 +200,31 @@ def test_bind_and_hold(spark):
     assert pairs(bind(rows.withColumn("q", F.lit(2.0)), "q", "math:quotient", "a", "b").select("a")) == [(4,)]
     assert pairs(hold(rows, "math:greaterThan", "a", "b").select("a")) == [(1,), (4,)]
     assert len(BUILTINS) > 150
+
+
+def test_ntriples_long_and_escaped(spark, tmp_path):
+    """Literals of a megabyte, every escape, and malformed lines as rejects."""
+    from pyspark.sql import functions as F
+
+    from quern.sources import ntriples
+
+    texts = ["a\\b\"c\n\t\r", "x" * 1_000_000, "\\u0041 \\\\n", "\\" * 50_000, "é🙂"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    facts = df.select(ntriples.iri(F.concat(F.lit("s"), F.col("i"))).alias("s"), F.lit("<p>").alias("p"), ntriples.literal(F.col("t")).alias("o"))
+    ntriples.write(facts, f"{tmp_path}/long")
+    got = {r.s: r.t for r in ntriples.read(spark, f"{tmp_path}/long").select("s", ntriples.lexical(F.col("o")).alias("t")).collect()}
+    assert got == {f"<s{i}>": t for i, t in enumerate(texts)}
+    lines = [r'<a> <b> "é\U0001F642 \\u0041 \b\f\t" .', "<broken> x .", "# comment", ""]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/odd")
+    assert [r.t for r in ntriples.read(spark, f"{tmp_path}/odd").select(ntriples.lexical(F.col("o")).alias("t")).collect()] == ["é🙂 \\u0041 \b\f\t"]
+    assert [r.value for r in ntriples.rejects(spark, f"{tmp_path}/odd").collect()] == ["<broken> x ."]
+
+
+def test_completed_years_on_leap_days(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import call
+
+    df = spark.createDataFrame([("2023-02-28", "2020-02-29"), ("2024-02-29", "2020-02-29"), ("2024-03-01", "2020-02-29"), ("2021-01-31", "2020-02-01")], "a string, b string")
+    df = df.select(F.to_date("a").alias("a"), F.to_date("b").alias("b"))
+    assert [r.y for r in df.select(call("time:completedYears", "a", "b").alias("y")).collect()] == [2, 4, 4, 0]
