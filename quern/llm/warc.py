@@ -33,6 +33,7 @@ REVISIT_BYTES = 1000
 SPLIT_BYTES = 16 << 20
 BLOCK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
+HEAD = b"WARC/1."
 DATE = "2020-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -97,7 +98,7 @@ class _Window:
     """Bytes of a file from a position on, read in blocks as they are asked for."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data = file, at, b""
+        self.file, self.at, self.data = file, at, bytearray()  # grows and shrinks without being copied as a whole
         file.seek(at)
 
     def more(self) -> bool:
@@ -106,30 +107,25 @@ class _Window:
         return bool(block)
 
     def drop(self, upto: int) -> None:
-        self.data = self.data[upto - self.at :]
+        del self.data[: upto - self.at]
         self.at = upto
 
 
 def _member(window: _Window, start: int):
     """Content of the gzip member at ``start`` and where it ends, or None if there is no sound one with a WARC record."""
-    decoder, out, fed = zlib.decompressobj(31), [], start - window.at
-    size = 0
-    while True:
-        part = window.data[fed:]
-        if not part and not window.more():
+    decoder, out, fed = zlib.decompressobj(31), bytearray(), start - window.at
+    while not decoder.eof:
+        if fed == len(window.data) and not window.more():
             return None
-        part = part or window.data[fed:]
+        part = bytes(memoryview(window.data)[fed : fed + BLOCK])
         fed += len(part)
         try:
-            out.append(decoder.decompress(part))
+            out += decoder.decompress(part)
         except zlib.error:
             return None
-        size += len(out[-1])
-        if size >= 7 and not b"".join(out[:2] if len(out) > 1 else out).startswith(b"WARC/1."):
+        if not out.startswith(HEAD[: len(out)]):
             return None
-        if decoder.eof:
-            content = b"".join(out)
-            return (content, window.at + fed - len(decoder.unused_data)) if content.startswith(b"WARC/1.") else None
+    return (bytes(out), window.at + fed - len(decoder.unused_data)) if out.startswith(HEAD) else None
 
 
 def records_in(file, start: int, end: int):

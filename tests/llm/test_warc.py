@@ -15,6 +15,36 @@ def test_ranges_own_what_starts_inside():
         assert got == [gzip.decompress(m) for m in members]
 
 
+@pytest.mark.parametrize("block", [1, 5, 1000])
+def test_members_across_blocks(monkeypatch, block):
+    monkeypatch.setattr(warc, "BLOCK", block)
+    members = [gzip.compress(b"WARC/1.1\r\nX: %d\r\n\r\n" % i + bytes(range(256)) * i) for i in range(12)]
+    noise = [warc.MAGIC, gzip.compress(b""), gzip.compress(b"WARD" * 9), b"\xff\x1f\x8b", gzip.compress(b"WARC/1.1 cut off")[:-4]]
+    data = b"".join(m + noise[i % len(noise)] for i, m in enumerate(members))
+    for split in (3, 100, len(data)):
+        got = [c for a in range(0, len(data), split) for c in warc.records_in(io.BytesIO(data), a, a + split)]
+        assert got == [gzip.decompress(m) for m in members]
+
+
+def test_a_long_record_is_read_once_into_one_buffer():
+    class Counted(warc._Window):
+        copied = 0
+
+        def more(self):
+            before = len(self.data)
+            found = super().more()
+            Counted.copied += len(self.data) - before
+            return found
+
+    data = gzip.compress(b"WARC/1.1\r\n\r\n" + bytes(24 << 20), 0)
+    window = Counted(io.BytesIO(data), 0)
+    content, end = warc._member(window, 0)
+    assert len(content) == (24 << 20) + 12 and end == len(data) and Counted.copied == len(data)
+    held = window.data
+    window.drop(end)
+    assert window.data is held and not held
+
+
 def test_large_member(monkeypatch):
     data = warc._record(1, "u", b"y" * (17 << 20), "00" * 20, "response", None) + b"\0"
     assert len(list(warc.records_in(io.BytesIO(data + data), 0, 2 * len(data)))) == 2
