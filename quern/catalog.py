@@ -69,7 +69,9 @@ def local_supply(spark, d):
 def error_pairs(spark, d):
     """Band self-join: errors of one user within two hours."""
     errors = relation(spark, d, "events", "ts", u="user_id", e="event_id", kind="event_type").filter("kind = 'error'")
-    errors = errors.select("u", "e", F.unix_seconds(F.date_trunc("second", "ts").cast("timestamp")).alias("t"))
+    # seconds rounded, halves to even, as the SQL's cast does; the difference to the epoch depends on no time zone
+    seconds = F.expr("cast(cast(ts - timestamp_ntz'1970-01-01 00:00:00' as interval second) as decimal(20, 6))").cast("double")
+    errors = errors.select("u", "e", F.rint(seconds).cast("long").alias("t"))
     first, second = errors.select("u", F.col("e").alias("e1"), F.col("t").alias("t1")), errors.select("u", F.col("e").alias("e2"), F.col("t").alias("t2"))
     return bodies.band_join(first, second, ["u"], "t1", "t2", 7200).select("u", "e1", "e2")
 
