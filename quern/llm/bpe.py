@@ -18,12 +18,15 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Entries of encoded chunks beyond which a Python worker drops its cache.
 CACHE_ENTRIES = 250_000
+#: Bytes of text that a Python worker holds as Python strings, with their ids; a longer text is a slice of its own.
+SLICE_BYTES = 2_000_000
 
 _LEAF_BITS = 8
 _LEAF_MASK = (1 << _LEAF_BITS) - 1
@@ -295,19 +298,41 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return Codec(rank_file, pattern)
 
 
+def slices(texts: pa.Array, step: int = SLICE_BYTES) -> list[tuple[int, int]]:
+    """Begins and ends of runs of rows of about ``step`` bytes; a row that ends beyond a multiple of it starts a run."""
+    if not len(texts):
+        return []
+    sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()).to_numpy()
+    ends = np.cumsum(sizes)
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(ends // step)) + 1, [len(texts)])).tolist()
+    return list(zip(starts[:-1], starts[1:]))
+
+
+def encode_slice(texts: pa.Array, coder: Codec) -> pa.ListArray:
+    """Ids of all rows; the Python strings of one run of rows at most are held."""
+    held, sizes = [], [0]
+    for at, stop in slices(texts):
+        parts = coder.encode_all([x or "" for x in texts.slice(at, stop - at).to_pylist()])
+        sizes += [len(x) // 4 for x in parts]
+        held.append(b"".join(parts))
+    values = pa.array(np.frombuffer(b"".join(held), dtype="<i4"), type=pa.int32())
+    ends = pa.array(np.cumsum(sizes), type=pa.int32())
+    return pa.ListArray.from_arrays(ends, values, type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
+
+
+def decode_slice(found: pa.ListArray, coder: Codec) -> pa.Array:
+    """Bytes of all rows of ids."""
+    ids, ends = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy()
+    rows = zip(ends[:-1].tolist(), ends[1:].tolist())  # a null row has no ids either
+    return pa.array([coder.decode(ids[a:b].tolist()) for a, b in rows], type=pa.binary())
+
+
 def encode(text: Column, rank_file: str, pattern: str) -> Column:
     """``array<int>`` of the token ids of a text column; null and empty texts give an empty array."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def ids(texts: pa.Array) -> pa.Array:
-        coder = codec(rank_file, pattern)
-        parts = coder.encode_all([x or "" for x in texts.to_pylist()])
-        ends = np.zeros(len(parts) + 1, dtype="<i4")
-        np.cumsum([len(x) // 4 for x in parts], out=ends[1:])
-        values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"), type=pa.int32())
-        return pa.ListArray.from_arrays(
-            pa.array(ends, type=pa.int32()), values, type=pa.list_(pa.field("element", pa.int32(), nullable=False))
-        )
+        return encode_slice(texts, codec(rank_file, pattern))
 
     return ids.asNondeterministic()(text)  # keeps Spark from running the encoder again for each use of the ids
 
@@ -317,14 +342,29 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
 
     @F.arrow_udf(T.BinaryType())
     def texts(found: pa.Array) -> pa.Array:
-        coder = codec(rank_file, pattern)
-        ids, ends = found.values.to_numpy(zero_copy_only=False), found.offsets.to_numpy()
-        rows = zip(ends[:-1].tolist(), ends[1:].tolist())  # a null row has no ids either
-        return pa.array([coder.decode(ids[a:b].tolist()) for a, b in rows], type=pa.binary())
+        return decode_slice(found, codec(rank_file, pattern))
 
     return texts.asNondeterministic()(ids)
 
 
+def coded_batches(batches, rank_file: str, pattern: str):
+    """Record batches of key, ids and decoded bytes, in slices of bounded size, of batches of key and text."""
+    coder = codec(rank_file, pattern)
+    for batch in batches:
+        for at, stop in slices(batch.column(1)):
+            part = batch.slice(at, stop - at)
+            ids = encode_slice(part.column(1), coder)
+            plain = ids.cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), plain, decode_slice(ids, coder)], names=["key", "ids", "bytes"])
+
+
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, ids, bytes`` of every row: the key, the token ids and the bytes that they stand for. One Python worker a task does both."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    made = T.StructType().add("key", rows.schema["key"].dataType).add("ids", T.ArrayType(T.IntegerType())).add("bytes", T.BinaryType())
+    return rows.mapInArrow(lambda batches: coded_batches(batches, rank_file, pattern), made)
+
+
 def encode_column(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with one more column of token ids."""
     return docs.withColumn(out, encode(F.col(text).cast("string"), rank_file, pattern))
@@ -332,11 +372,9 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
 
 def encode_digests(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the key, the number of tokens, and SHA-256 digests of the ids and of the decoded bytes."""
-    coded = encode_column(docs.select(F.col(key), F.col(text).alias("_text")), rank_file, pattern, "_text", "_ids")
-    decoded = coded.select(key, "_ids", decode(F.col("_ids"), rank_file, pattern).alias("_bytes"))
-    return decoded.select(
-        key,
-        F.size("_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("_bytes"), 256).alias("decoded_sha256"),
+    return round_trip(docs, rank_file, pattern, key, text).select(
+        F.col("key").alias(key),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("bytes"), 256).alias("decoded_sha256"),
     )

@@ -65,3 +65,21 @@ def test_query(spark, sf):
         assert got[d.doc_id].n_tokens == len(e)
         assert got[d.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, e)).encode()).hexdigest()
         assert got[d.doc_id].decoded_sha256 == hashlib.sha256(d.text.encode()).hexdigest()
+
+
+def test_slices_bound_what_a_worker_holds():
+    import pyarrow as pa
+
+    texts = ["word %d " % i * 40 for i in range(20_000)] + ["y" * 3_000_000, None, "", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["key", "text"])
+    made = list(bpe.coded_batches(iter([batch, batch.slice(5, 3), batch.slice(0, 0)]), FILE, P.PATTERN))
+    held = [[len(y) for y in x.column(2).to_pylist()] for x in made]
+    assert all(sum(x) - max(x) <= bpe.SLICE_BYTES for x in held) and len(made) > 5
+    got = [x for part in made for x in zip(part.column(0).to_pylist(), part.column(2).to_pylist())]
+    assert got == [(i, (t or "").encode()) for i, t in enumerate(texts)] + [(i, texts[i].encode()) for i in (5, 6, 7)]
+
+
+def test_one_python_worker_a_task(spark, sf):
+    """Encoding and decoding in two Python workers a task took twice the memory."""
+    plan = op8_byte_bpe(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("MapInArrow") == 1
