@@ -13,6 +13,14 @@ from quern.operators.components import connected_components
 from quern.operators.fixpoint import fixpoint
 
 COLUMNS = ["s", "p", "o"]
+#: Rows up to which a rule's schema side is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def schema_side(rows: DataFrame) -> DataFrame:
+    """The schema side of a join, broadcast where it is counted to be small: a few properties or classes as keys of a shuffle would send
+    all facts of one of them to one task."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def _or(other: DataFrame | None, facts: DataFrame) -> DataFrame:
@@ -28,24 +36,24 @@ def _typed(df: DataFrame, s: str, o: str) -> DataFrame:
 
 
 def subclass(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    return _typed(having(facts, "type", "x", "a").join(having(_or(other, facts), "subClassOf", "a", "b"), "a"), "x", "b")
+    return _typed(having(facts, "type", "x", "a").join(schema_side(having(_or(other, facts), "subClassOf", "a", "b")), "a"), "x", "b")
 
 
 def subproperty(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    return facts.join(having(_or(other, facts), "subPropertyOf", "p", "q"), "p").select("s", F.col("q").alias("p"), "o")
+    return facts.join(schema_side(having(_or(other, facts), "subPropertyOf", "p", "q")), "p").select("s", F.col("q").alias("p"), "o")
 
 
 def domain(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    return _typed(facts.join(having(_or(other, facts), "domain", "p", "d"), "p"), "s", "d")
+    return _typed(facts.join(schema_side(having(_or(other, facts), "domain", "p", "d")), "p"), "s", "d")
 
 
 def value_range(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    return _typed(facts.join(having(_or(other, facts), "range", "p", "d"), "p"), "o", "d")
+    return _typed(facts.join(schema_side(having(_or(other, facts), "range", "p", "d")), "p"), "o", "d")
 
 
 def _marked(facts: DataFrame, kind: str, other: DataFrame | None = None) -> DataFrame:
     """Facts of the properties that have this type."""
-    return facts.join(having(_or(other, facts), "type", "p", "k").filter(F.col("k") == kind).select("p"), "p").select(*COLUMNS)
+    return facts.join(schema_side(having(_or(other, facts), "type", "p", "k").filter(F.col("k") == kind).select("p")), "p").select(*COLUMNS)
 
 
 def symmetric(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
@@ -70,7 +78,7 @@ def inverse(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
 def equivalent_property(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
     pairs = having(_or(other, facts), "equivalentProperty", "p", "q")
     both = pairs.unionByName(pairs.select(F.col("q").alias("p"), F.col("p").alias("q")))
-    return facts.join(both, "p").select("s", F.col("q").alias("p"), "o")
+    return facts.join(schema_side(both), "p").select("s", F.col("q").alias("p"), "o")
 
 
 def equivalent_class(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
@@ -88,26 +96,26 @@ def property_chain(facts: DataFrame, chains: DataFrame) -> DataFrame:
 
 def some_or_all_values(facts: DataFrame, restrictions: DataFrame) -> DataFrame:
     """``restrictions``: ``class, property, filler``; a member's values of the property are members of the filler."""
-    members = having(facts, "type", "s", "class").join(restrictions, "class").select("s", F.col("property").alias("p"), "filler")
+    members = having(facts, "type", "s", "class").join(schema_side(restrictions), "class").select("s", F.col("property").alias("p"), "filler")
     return _typed(facts.join(members, ["s", "p"]), "o", "filler")
 
 
 def has_value(facts: DataFrame, restrictions: DataFrame) -> DataFrame:
     """``restrictions``: ``class, property, value``; members have the value."""
-    return having(facts, "type", "s", "class").join(restrictions, "class").select("s", F.col("property").alias("p"), F.col("value").alias("o"))
+    return having(facts, "type", "s", "class").join(schema_side(restrictions), "class").select("s", F.col("property").alias("p"), F.col("value").alias("o"))
 
 
 def union_of(facts: DataFrame, unions: DataFrame) -> DataFrame:
     """``unions``: ``class, member``."""
-    return _typed(having(facts, "type", "s", "member").join(unions, "member"), "s", "class")
+    return _typed(having(facts, "type", "s", "member").join(schema_side(unions), "member"), "s", "class")
 
 
 def intersection_of(facts: DataFrame, intersections: DataFrame) -> DataFrame:
     """``intersections``: ``class, member``; both directions."""
     types = having(facts, "type", "s", "member")
     sizes = intersections.groupBy("class").agg(F.count_distinct("member").alias("size"))
-    full = types.join(intersections, "member").groupBy("s", "class").agg(F.count_distinct("member").alias("n")).join(sizes, "class").filter("n = size")
-    down = having(facts, "type", "s", "class").join(intersections, "class")
+    full = types.join(schema_side(intersections), "member").groupBy("s", "class").agg(F.count_distinct("member").alias("n")).join(sizes, "class").filter("n = size")
+    down = having(facts, "type", "s", "class").join(schema_side(intersections), "class")
     return _typed(full, "s", "class").unionByName(_typed(down, "s", "member"))
 
 
@@ -137,7 +145,7 @@ def same_by_function(facts: DataFrame) -> DataFrame:
 
 def same_by_keys(facts: DataFrame, keys: DataFrame) -> DataFrame:
     """``keys``: ``class, property``; members of a class with equal, non-empty values of all its key properties are the same."""
-    members = having(facts, "type", "s", "class").join(keys, "class").select("s", "class", F.col("property").alias("p"))
+    members = having(facts, "type", "s", "class").join(schema_side(keys), "class").select("s", "class", F.col("property").alias("p"))
     values = facts.join(members, ["s", "p"]).groupBy("class", "s", "p").agg(F.sort_array(F.collect_set("o")).alias("set"))
     sizes = keys.groupBy("class").agg(F.count_distinct("property").alias("size"))
     whole = values.groupBy("class", "s").agg(F.sort_array(F.collect_list(F.struct("p", "set"))).alias("key")).join(sizes, "class").filter(F.size("key") == F.col("size"))

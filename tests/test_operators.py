@@ -228,3 +228,17 @@ def test_completed_years_on_leap_days(spark):
     df = spark.createDataFrame([("2023-02-28", "2020-02-29"), ("2024-02-29", "2020-02-29"), ("2024-03-01", "2020-02-29"), ("2021-01-31", "2020-02-01")], "a string, b string")
     df = df.select(F.to_date("a").alias("a"), F.to_date("b").alias("b"))
     assert [r.y for r in df.select(call("time:completedYears", "a", "b").alias("y")).collect()] == [2, 4, 4, 0]
+
+
+@pytest.mark.parametrize("name, schema", [("subclass", ("x", "subClassOf", "y")), ("subproperty", ("q", "subPropertyOf", "r")), ("domain", ("q", "domain", "D")), ("value_range", ("q", "range", "D"))])
+def test_rdfs_rules_dont_shuffle_by_property(spark, monkeypatch, name, schema):
+    """All facts of one property would meet in one task; with a schema that isn't small the results are the same."""
+    from quern.session import settle
+
+    facts = settle(spark.createDataFrame([("a", "q", "b"), ("c", "q", "b"), ("a", "type", "x"), schema], FACTS))
+    made = getattr(entailment, name)(facts)
+    plan = made._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(entailment, "BROADCAST_ROWS", 0)
+    shuffled = pairs(getattr(entailment, name)(facts))
+    assert pairs(made) == shuffled and shuffled
