@@ -72,7 +72,7 @@ def transitive(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
 
 
 def inverse(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
-    return facts.join(having(_or(other, facts), "inverseOf", "p", "q"), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+    return facts.join(schema_side(having(_or(other, facts), "inverseOf", "p", "q")), "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
 
 
 def equivalent_property(facts: DataFrame, other: DataFrame | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def equivalent_class(facts: DataFrame, other: DataFrame | None = None) -> DataFr
 
 def property_chain(facts: DataFrame, chains: DataFrame) -> DataFrame:
     """``chains``: ``first, second, result`` properties."""
-    a = facts.select("s", F.col("p").alias("first"), F.col("o").alias("m")).join(chains, "first")
+    a = facts.select("s", F.col("p").alias("first"), F.col("o").alias("m")).join(schema_side(chains), "first")
     b = facts.select(F.col("s").alias("m"), F.col("p").alias("second"), "o")
     return a.join(b, ["second", "m"]).select("s", F.col("result").alias("p"), "o")
 

@@ -242,3 +242,15 @@ def test_rdfs_rules_dont_shuffle_by_property(spark, monkeypatch, name, schema):
     monkeypatch.setattr(entailment, "BROADCAST_ROWS", 0)
     shuffled = pairs(getattr(entailment, name)(facts))
     assert pairs(made) == shuffled and shuffled
+
+
+def test_owl_chain_doesnt_shuffle_by_property(spark, monkeypatch):
+    facts = spark.createDataFrame([("a", "p", "b"), ("c", "p", "d"), ("b", "q", "e"), ("p", "inverseOf", "i")], FACTS)
+    chains = spark.createDataFrame([("p", "q", "r")], "first string, second string, result string")
+    turned, chained = entailment.inverse(facts), entailment.property_chain(facts, chains)
+    assert "BroadcastHashJoin" in turned._jdf.queryExecution().sparkPlan().toString()
+    plan = chained._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("Join") == 2  # the other join, on property and middle, is dealt by both
+    monkeypatch.setattr(entailment, "BROADCAST_ROWS", 0)
+    assert pairs(turned) == pairs(entailment.inverse(facts)) == [("b", "i", "a"), ("d", "i", "c")]
+    assert pairs(chained) == pairs(entailment.property_chain(facts, chains)) == [("a", "r", "e")]
