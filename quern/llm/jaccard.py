@@ -33,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.components import connected_components
@@ -234,8 +234,9 @@ def _entries(docs: DataFrame, tokens: DataFrame, sets: DataFrame, key: str, text
 
     whole = settle(texts.mapInArrow(run, "id long, tokens array<long>"), "shingles")
     each = whole.select("id", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count("*").alias("often")).filter("often > 1")
-    listed = each.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("common"))  # of one text
+    # counted where they are sorted, so each goes once to its token's task; a join with the counts would take it there twice
+    often = each.withColumn("often", F.count("*").over(Window.partitionBy("token"))).filter("often > 1")
+    listed = often.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("common"))  # of one text
     found = able.select("id", "n").join(listed, "id").select("id", "n", F.col("common.token").alias("common"))
     # tokens of one entry differ in every comparison; with too many of them no link is possible
     found = settle(found.filter(den * F.size("common") >= num * F.col("n")), "entries")

@@ -104,3 +104,19 @@ def test_repeated_key(spark):
     got = sorted((r.doc_id, r.component_id) for r in jaccard.components(df).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]
     assert sorted((r.doc_id, r.text[:1]) for r in jaccard.keep_first(df).collect()) == [(1, "a"), (1, "b"), (3, "c")]
+
+
+def test_shingles_are_counted_without_a_join(spark, monkeypatch):
+    """A join of shingles with their counts made rows faster than the input grows, as chance sharing does, and shuffled each twice."""
+    plans, settle = [], jaccard.settle
+
+    def watched(df, name="step"):
+        if name == "entries":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return settle(df, name)
+
+    monkeypatch.setattr(jaccard, "settle", watched)
+    same = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, same), (2, same + " end"), (3, "other words here")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.components(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert len(plans) == 1 and not [x for x in plans[0].splitlines() if "Join" in x and re.search(r"\btoken#", x)]
